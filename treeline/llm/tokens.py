@@ -118,7 +118,7 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     if len(h) == 0:
         return h
     if len(h) < n:
-        whole = (h * _MULTIPLIERS[: len(h)]).sum(dtype=_U) + _U(len(h)) * _MULTIPLIERS[63]
-        return mix(np.array([whole], dtype=_U))
+        whole = (h * _MULTIPLIERS[: len(h)]).sum(keepdims=True, dtype=_U)
+        return mix(whole + np.array([len(h)], dtype=_U) * _MULTIPLIERS[63])
     s = np.sort(shingle_hashes(h, n))
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
