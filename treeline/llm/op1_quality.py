@@ -181,7 +181,7 @@ def quality_rules(docs: DataFrame, min_group: int = 200, confidence: float = CON
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep. Rows that share a doc_id stay only if all of them are kept."""
     dropped = quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from treeline.llm.tokens import buffers, word_hashes
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 #: Weight of the lower order against counts, for bigrams and trigrams.
-PRIOR2, PRIOR3 = 50.0, 10.0
+PRIOR2, PRIOR3 = 1000.0, 60.0
 #: Tokens whose n-grams a shard holds, about; entries of a part of the vocabulary; bytes of text handled at once.
 SHARD_TOKENS, PART_WORDS, BLOCK = 6_000_000, 2_000_000, 6 << 20
 #: Quantised: 65535 steps of this many decades from 0 down.

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from treeline.llm.op1_quality import op1_quality_mcd
+from treeline.llm.op2_trie import op2_trie
 from treeline.llm.op4_minhash import op4_minhash
 from treeline.llm.op6_bpe import op6_bpe
+from treeline.llm.op7_mixing import op7_mixing
 from treeline.llm.op9_language import op9_language
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op4_minhash, op6_bpe, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_trie, op4_minhash, op6_bpe, op7_mixing, op9_language)}
 ORACLES: dict[str, str] = {}
