@@ -34,8 +34,8 @@ SMOOTHING = 0.5
 PENALTY = 8.0
 #: A language uses a script that has this share of its training words.
 SCRIPT_SHARE = 0.002
-#: Bytes of text handled at once.
-BLOCK = 1 << 24
+#: Bytes of text whose paths are found together, and words scored at once.
+BLOCK, WORDS = 1 << 23, 1 << 16
 
 #: First bytes of UTF-8 sequences by script: Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic, Indic and South-East Asian, kana and CJK, Hangul, other.
 _RANGES = ((1, 0x41, 0x5A), (1, 0x61, 0x7A), (1, 0xC3, 0xCA), (2, 0xCD, 0xCF), (3, 0xD0, 0xD3), (4, 0xD4, 0xD7), (5, 0xD8, 0xDF), (6, 0xE0, 0xE1), (7, 0xE3, 0xE9), (8, 0xEA, 0xED), (9, 0xEE, 0xF4))
@@ -111,13 +111,16 @@ def _count(languages: list[str]):
             s, e, first = _words(data, offsets)
             if not len(s):
                 continue
-            of = np.repeat(which, np.diff(first))
-            kind = _word_scripts(data, s, e)
-            np.add.at(scripts, (of, kind), 1)
-            for k, (codes, at, counts) in enumerate(_features(data, s, e)):
-                places, _ = _spread(at, counts)
-                key = np.repeat(of, counts) * BUCKETS + codes[places]
-                grams[:, k, :] += np.bincount(key, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
+            every = np.repeat(which, np.diff(first))
+            for i in range(0, len(s), WORDS):
+                a, b, of = s[i : i + WORDS], e[i : i + WORDS], every[i : i + WORDS]
+                d = data[a[0] : b[-1]]
+                a, b = a - a[0], b - a[0]
+                np.add.at(scripts, (of, _word_scripts(d, a, b)), 1)
+                for k, (codes, at, counts) in enumerate(_features(d, a, b)):
+                    places, _ = _spread(at, counts)
+                    key = np.repeat(of, counts) * BUCKETS + codes[places]
+                    grams[:, k, :] += np.bincount(key, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
         for i, x in enumerate(languages):
             if scripts[i].any():
                 yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([grams[i].tobytes()], pa.binary()), pa.array([scripts[i].tobytes()], pa.binary())], names=["lang", "grams", "scripts"])
@@ -152,16 +155,25 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     return {"languages": [r["lang"] for r in rows], "score": np.ascontiguousarray(score.transpose(1, 2, 0), dtype=np.float32), "uses": uses.T.copy()}
 
 
-def word_scores(model: dict, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Log score of each word for each language; 0 for all where the word says nothing."""
-    out = np.zeros((len(s), len(model["languages"])), dtype=np.float32)
-    for k, (codes, at, counts) in enumerate(_features(data, s, e)):
-        places, first = _spread(at, counts)
-        out += np.add.reduceat(model["score"][k][codes[places]], first, axis=0)
-    kind = _word_scripts(data, s, e)
-    out[~model["uses"][kind]] = -1e4
-    out[(kind == 0) | ~model["uses"].any(axis=1)[kind]] = 0
-    return out - out.max(axis=1, keepdims=True)
+def word_scores(model: dict, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log score of each word for each language, 0 for all where the word says nothing; its script; whether it has an ASCII letter."""
+    scores = np.zeros((len(s), len(model["languages"])), dtype=np.float32)
+    kinds, letters = np.zeros(len(s), dtype=np.int8), np.zeros(len(s), dtype=bool)
+    for i in range(0, len(s), WORDS):
+        a, b = s[i : i + WORDS], e[i : i + WORDS]
+        d, at = data[a[0] : b[-1]], a[0]
+        a, b = a - at, b - at
+        out = scores[i : i + WORDS]
+        for k, (codes, first, counts) in enumerate(_features(d, a, b)):
+            places, begin = _spread(first, counts)
+            out += np.add.reduceat(model["score"][k][codes[places]], begin, axis=0)
+        kind = _word_scripts(d, a, b)
+        out[~model["uses"][kind]] = -1e4
+        out[(kind == 0) | ~model["uses"].any(axis=1)[kind]] = 0
+        out -= out.max(axis=1, keepdims=True)
+        kinds[i : i + WORDS] = kind
+        letters[i : i + WORDS] = np.logical_or.reduceat((_SCRIPT[d] == 1) & (d < 128), a)
+    return scores, kinds, letters
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -220,8 +232,8 @@ def label_batch(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray, tu
     n, languages = len(texts), model["languages"]
     if not languages or not len(s):
         return ["und"] * n, np.zeros(n), (s, e, first, np.zeros(len(s), np.int16))
-    labels = viterbi(word_scores(model, data, s, e), first)
-    kind = _word_scripts(data, s, e)
+    scores, kind, letters = word_scores(model, data, s, e)
+    labels = viterbi(scores, first)
     weight = np.where(kind > 0, e - s, 0)
     rows = np.repeat(np.arange(n), np.diff(first))
     share = np.bincount(rows * len(languages) + labels, weights=weight, minlength=n * len(languages)).reshape(n, -1)
@@ -230,8 +242,7 @@ def label_batch(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray, tu
     score = share[np.arange(n), best] / np.maximum(total, 1)
     names = [languages[b] for b in best]
     values = None
-    ascii_letters = np.concatenate(([0], np.cumsum((_SCRIPT[data] == 1) & (data < 128))))
-    for i in np.flatnonzero(ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]]):
+    for i in np.flatnonzero(np.bincount(rows, weights=letters, minlength=n) == 0):
         values = values or texts.to_pylist()
         if not any(c.isalpha() for c in values[i] or ""):
             names[i], score[i] = "und", 0.0
