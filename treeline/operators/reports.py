@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from treeline.operators.search import lookup, result_rows, scope
 
-LIVE = ~F.col("is_deleted")
+LIVE = "not is_deleted"
 
 
 def size_children(nodes: DataFrame, path: str, top: int) -> DataFrame:
     """The largest children of a directory that count toward it; top 0: none."""
     home = scope(nodes, path)
-    kids = nodes.filter((F.col("parent_id") == home) & (F.col("node_id") != home) & LIVE & ~F.col("is_excluded"))
+    kids = nodes.filter((F.col("parent_id") == home) & (F.col("node_id") != home) & F.expr(LIVE) & ~F.col("is_excluded"))
     return result_rows(kids.orderBy(F.desc("size"), "node_id").limit(top))
 
 
@@ -24,19 +24,19 @@ def size_of(nodes: DataFrame, path: str) -> DataFrame:
 
 def own_bytes(nodes: DataFrame) -> DataFrame:
     """Each directory's bytes in files of its own."""
-    files = nodes.filter(~F.col("is_dir") & ~F.col("is_excluded") & LIVE).groupBy(F.col("parent_id").alias("id")).agg(F.sum("size").alias("own"))
+    files = nodes.filter(~F.col("is_dir") & ~F.col("is_excluded") & F.expr(LIVE)).groupBy(F.col("parent_id").alias("id")).agg(F.sum("size").alias("own"))
     dirs = nodes.filter(F.col("is_dir"))
     return dirs.join(files, dirs["node_id"] == files["id"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
 def largest_dirs(nodes: DataFrame, top: int = 30, under: str | None = None) -> DataFrame:
     """Directories by their subtrees' bytes, with own bytes; top 0: all. The bytes of files are summed for the directories shown alone."""
-    keep = F.col("is_dir") & ~F.col("is_excluded") & ~F.col("is_root") & LIVE
+    keep = F.col("is_dir") & ~F.col("is_excluded") & ~F.col("is_root") & F.expr(LIVE)
     if under:
         keep &= F.array_contains("ancestors", F.lit(scope(nodes, under)).cast("long"))
     dirs = nodes.filter(keep).orderBy(F.desc("size"), "node_id")
     dirs = dirs.limit(top) if top else dirs
-    files = nodes.filter(~F.col("is_dir") & ~F.col("is_excluded") & LIVE)
+    files = nodes.filter(~F.col("is_dir") & ~F.col("is_excluded") & F.expr(LIVE))
     own = files.join(dirs.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").groupBy(F.col("parent_id").alias("id")).agg(F.sum("size").alias("own_sum"))
     shown = dirs.join(own, dirs["node_id"] == own["id"], "left").orderBy(F.desc("size"), "node_id")
     return result_rows(shown, F.coalesce("own_sum", F.lit(0)))
