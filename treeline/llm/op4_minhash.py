@@ -4,7 +4,9 @@ Scale: texts go to Python once, a batch at a time, and come back as a digest of
 band keys; texts with equal sets collapse into a class before any pair is made. A band's bucket is never expanded into
 all its pairs: the most central members (those in the largest buckets) are compared with the others, the links found are
 contracted into components, and further members serve as centres only while a bucket still spans several components,
-twice as many each round. So a bucket of thousands of copies costs about as many comparisons as it has members, and
+twice as many each round. Before that, shingles that no other member holds are counted for each: a document with too many
+of them for the similarity can't be linked and leaves its buckets, which spares the comparisons among heavily edited
+copies of one text. So a bucket of thousands of copies costs about as many comparisons as it has members, and
 still every pair of different components that shares a bucket is compared in the end. Pairs pass a check of their
 signatures, then their full shingle sets are compared exactly.
 
@@ -89,6 +91,25 @@ def _sets(n: int):
     return run
 
 
+def _elements(n: int):
+    def run(batches):
+        for batch in batches:
+            h, at = word_hashes(batch.column("text"))
+            for i in range(0, batch.num_rows, 64):
+                sets = [shingle_set(h[at[j] : at[j + 1]], n) for j in range(i, min(i + 64, batch.num_rows))]
+                ids = batch.column("doc_id").slice(i, 64).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s in sets]), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["id", "h"])
+
+    return run
+
+
+def _reach(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, lone): how many of a document's shingles stand in no other of the documents ids; no pair among them can share those."""
+    wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(_elements(n), "id long, h long")
+    alone = wanted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets reach the similarity. Signatures decide first which sets are fetched."""
     sides = sketches.select("doc_id", "n_shingles", "sig")
@@ -97,7 +118,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, pe
     likely = likely.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
     likely = saved(likely.filter(agree >= int((percent / 100 - SLACK) * HASHES)).select("a", "b").distinct(), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = likely.select(F.col("a").alias("id")).distinct().unionByName(likely.select(F.col("b").alias("id")).distinct()).distinct()
     wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
     sets = saved(wanted.mapInArrow(_sets(n), "id long, s array<long>"), "sets")
     full = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
@@ -124,24 +145,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # Buckets with the same members say the same: one of them is enough, told by an order-free digest.
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
     chosen = same.groupBy("n", "h", "x").agg(F.min("key").alias("key")).select("key")
-    state = saved(members.join(chosen, "key").join(score, "doc_id").select("key", "doc_id", "score", F.col("doc_id").alias("comp"), F.lit(False).alias("done")), "members")
-    found, centres = links, 1
-    links = saved(links, "links")
-    found = links
-    best_first = Window.partitionBy("key").orderBy(F.desc("score"), "doc_id")
+    state = saved(members.join(chosen, "key").join(score, "doc_id").select("key", "doc_id", "score"), "members")
+    # A pair of n and m shingles must share percent / (100 + percent) of n + m: more than either holds that any other member has can't be.
+    lone = saved(_reach(docs, state.select(F.col("doc_id").alias("id")).distinct(), n), "lone")
+    sized = reps.select("doc_id", F.col("n_shingles").alias("n")).distinct().join(lone.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    state = state.join(sized.select("doc_id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("reach")), "doc_id")
+    fewest = state.groupBy("key").agg(F.min("n").alias("fewest"))
+    state = state.join(fewest, "key").filter(100 * percent * F.col("n") + percent * F.greatest(100 * F.col("fewest"), percent * F.col("n")) <= 100 * (100 + percent) * F.col("reach"))
+    state = saved(state.select("key", "doc_id", "score", "n", "reach", F.col("doc_id").alias("comp")), "members")
+    centres, found = 1, saved(links, "links")
+    possible = percent * (F.col("n") + F.col("c_n")) <= (100 + percent) * F.least("reach", "c_reach", "n", "c_n")
+    # members of a bucket's small components first: once they have met all others, the bucket is settled
+    best_first = Window.partitionBy("key").orderBy("held", F.desc("score"), "doc_id")
     while True:
-        open_ = state.filter("not done").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        waiting = saved(state.filter("not done").join(open_, "key"), "open")
+        open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        waiting = saved(state.join(open_, "key"), "open")
         if waiting.isEmpty():
             break
-        chosen = saved(waiting.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= centres).select("key", F.col("doc_id").alias("c"), F.col("comp").alias("c_comp")), "centres")
-        pairs = waiting.join(chosen, "key").filter("comp <> c_comp").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+        held = waiting.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"))
+        chosen = saved(waiting.join(held, ["key", "comp"]).withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= centres).select("key", *(F.col(x).alias(y) for x, y in (("doc_id", "c"), ("comp", "c_comp"), ("n", "c_n"), ("reach", "c_reach")))), "centres")
+        pairs = waiting.join(chosen, "key").filter((F.col("comp") != F.col("c_comp")) & possible).select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
         new = saved(_verified(pairs, sketches.filter("digest is not null"), docs, n, percent), "links")
         found = found.unionByName(new)
         tried = chosen.select("key", F.col("c").alias("doc_id"), F.lit(True).alias("tried"))
         waiting = waiting.join(tried, ["key", "doc_id"], "left").filter("tried is null").drop("tried")
         joined = connected_components(waiting.select(F.col("doc_id").alias("u"), F.col("comp").alias("v")).unionByName(new).unionByName(chosen.select(F.col("c").alias("u"), F.col("c_comp").alias("v"))))
-        state = saved(waiting.drop("comp").join(joined.select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").select("key", "doc_id", "score", F.coalesce("comp", "doc_id").alias("comp"), "done"), "members")
+        state = saved(waiting.drop("comp").join(joined.select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").select("key", "doc_id", "score", "n", "reach", F.coalesce("comp", "doc_id").alias("comp")), "members")
         centres *= 2
     components = saved(connected_components(found), "components")
     out = sketches.select("doc_id", "n_shingles").join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
