@@ -8,7 +8,7 @@ import numpy as np
 
 _U = np.uint64
 #: A place is kept for every SAMPLE-th one and zero of the high bits.
-SAMPLE = 32
+SAMPLE = 16
 _ALL = _U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -37,10 +37,11 @@ class EliasFano:
         v = values.astype(_U)
         n = len(v)
         width = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
-        width += -width % 4
+        width = (width + 2) // 4 * 4  # whole nibbles
         high = (v >> _U(width)).astype(np.int64)
         bits = np.zeros((n + (int(high[-1]) if n else 0) + 2 + 63) // 64 * 64, dtype=bool)
         bits[high + np.arange(n)] = True
+        place = np.uint32 if len(bits) < 2**32 else np.int64
         whole, rest = divmod(width, 8)
         parts = np.empty((n, whole), dtype=np.uint8)
         for j in range(whole):
@@ -48,8 +49,8 @@ class EliasFano:
         nibble = (v >> _U(8 * whole) & _U(15)).astype(np.uint8) if rest else np.zeros(0, np.uint8)
         nibble = np.append(nibble, np.zeros(len(nibble) % 2, np.uint8)).reshape(-1, 2)
         return {
-            "shape": np.array([n, width]), "high": np.packbits(bits, bitorder="little").view(_U), "ones": np.flatnonzero(bits)[::SAMPLE],
-            "zeros": np.flatnonzero(~bits)[::SAMPLE], "bytes": parts, "nibbles": nibble[:, 0] | nibble[:, 1] << 4,
+            "shape": np.array([n, width]), "high": np.packbits(bits, bitorder="little").view(_U), "ones": np.flatnonzero(bits)[::SAMPLE].astype(place),
+            "zeros": np.flatnonzero(~bits)[::SAMPLE].astype(place), "bytes": parts, "nibbles": nibble[:, 0] | nibble[:, 1] << 4,
         }
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:

@@ -33,8 +33,8 @@ _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 #: Weight of the lower order against counts, for bigrams and trigrams.
 PRIOR2, PRIOR3 = 1000.0, 60.0
-#: Tokens whose n-grams a shard holds, about; entries of a part of the vocabulary; bytes of text handled at once.
-SHARD_TOKENS, PART_WORDS, BLOCK = 6_000_000, 2_000_000, 6 << 20
+#: Tokens whose n-grams a shard holds, about; entries of a part of the vocabulary; bytes of text counted at once, and scored at once (what a step works on should stay in the cache).
+SHARD_TOKENS, PART_WORDS, BLOCK, SCORED = 6_000_000, 2_000_000, 6 << 20, 1 << 19
 #: Quantised: 65535 steps of this many decades from 0 down.
 STEP = 16 / 65535
 
@@ -43,11 +43,11 @@ def _quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(log10 / -STEP), 0, 65535).astype(np.uint16)
 
 
-def _slices(batch: pa.RecordBatch):
+def _slices(batch: pa.RecordBatch, size: int = BLOCK):
     _, offsets = buffers(batch.column("text"))
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
 
@@ -343,7 +343,7 @@ def _score(spec: dict):
             _MODELS[spec["folder"]] = Model(spec)
         model = _MODELS[spec["folder"]]
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, SCORED):
                 h, first = _tokens(batch)
                 c, base, score = model.score(h, first)
                 total = lambda x: np.add.reduceat(x, first[:-1])
