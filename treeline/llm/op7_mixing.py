@@ -9,7 +9,8 @@ own range of each source's instances, disjoint from all others', and is shuffled
 Scale: after two aggregations (by source; by block) everything about a document follows from its own row and its source's
 small record, so texts move once, to their shard, and not at all for the query. A hot source has more blocks, not larger
 ones; sums over blocks are two-level, so no task sees all blocks of a source. One row for each source is collected; the
-number of blocks in all is below 2**28, beyond which blocks get larger.
+number of blocks in all is below 2**28, beyond which blocks get larger. The sources' records are broadcast if their
+bytes, which are counted first, are within BROADCAST_BYTES.
 
 Defined cases: null text has size 0; null source is a source of its own, the last; a source without words has target 0;
 rows that are equal in id and text are drawn alike; an empty table gives an empty result. Reruns agree, however the
@@ -31,6 +32,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK_DOCS, BLOCKS, SHARD_WORDS = 64, 1 << 28, 2_000_000
 SEED = 20240607
+#: Most bytes of the sources' records that are broadcast; beyond them they are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _with_sizes(docs: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     for r, t in zip(rows, wanted):
         passes = min(int(t // r["size"]), MOST) if r["size"] else 0
         known.append([r["_key"], r["size"], t, max(1, r["docs"] // per_block), passes, t - passes * r["size"]])
-    sources = spark.createDataFrame(known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double")
+    sources = _bounded(spark.createDataFrame(known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double"), sum(60 + len(k[0]) * 4 for k in known))
     small = sized.select("_key", "_size", "_hash").join(sources, "_key").filter("_rest >= 0.5").withColumn("block", _block())
     blocks = saved(small.groupBy("_key", "block").agg(F.sum("_size").alias("words"), F.first("_rest").alias("rest")).withColumn("run", F.floor(F.col("block") / 1024)), "blocks")
     runs = blocks.groupBy("_key", "run").agg(F.sum("words").alias("run_words")).withColumn("before_run", F.sum("run_words").over(Window.partitionBy("_key").orderBy("run")) - F.col("run_words"))
@@ -116,7 +119,12 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     shards = max(1, math.ceil(sum(wanted) / shard_words))
     starts = split_quotas(quotas, shards)
     out = [[*r, [int(x) for x in starts[:, i]]] for i, r in enumerate(out)]
-    return spark.createDataFrame(out, _PLAN)
+    return _bounded(spark.createDataFrame(out, _PLAN), sum(100 + len(r[0]) * 4 + 8 * (len(r[6]) + len(r[7])) for r in out))
+
+
+def _bounded(records: DataFrame, size: int) -> DataFrame:
+    """records, to be broadcast if they have few bytes: a hot source's rows then stay where they are."""
+    return F.broadcast(records) if size <= BROADCAST_BYTES else records
 
 
 def _filled(rest: float, documents: list[tuple[int, int]]) -> list[int]:
