@@ -267,6 +267,31 @@ def test_neighbours(spark):
     assert op10_graph.nearest(vectors.limit(0).withColumnRenamed("vec_id", "query_id"), op10_graph.build_index(vectors.limit(0))).count() == 0
 
 
+def test_neighbours_among_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (6, 64))
+    centres[4:] = np.round(4 * centres[4:]) / 4  # their distances are exactly 0; rounding makes the others' positive or negative
+    x = np.concatenate((np.repeat(centres, 150, axis=0), rng.normal(0, 1, (600, 64)), np.repeat(centres[:1], 15, axis=0))).astype(np.float32)
+    ids = np.concatenate((rng.permutation(1500), np.repeat(2000, 15)))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    x = x.astype(np.float64)
+    asked = sorted({int(i) for i in ids if i % 40 == 0})
+    queries = spark.createDataFrame([(q, x[ids == q][0].tolist()) for q in asked], "query_id long, embedding array<float>")
+    found = {q: [] for q in asked}
+    for r in op10_graph.nearest(queries, op10_graph.build_index(rows, shard=400)).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        assert [r for r, _, _ in sorted(found[q])] == list(range(1, 11)) and all(abs(d[ids == v][0] - s) < 1e-6 for _, v, s in found[q])
+        hits += sum((Counter(ids[best].tolist()) & Counter(v for _, v, _ in found[q])).values())
+        if d[best[-1]] == 0:  # all of them are copies: the smallest ids, in order
+            assert [v for _, v, _ in sorted(found[q])] == ids[best].tolist()
+    assert hits / (10 * len(asked)) >= 0.95
+
+
 def test_held_out_rule(spark):
     from pyspark.sql import functions as F
 

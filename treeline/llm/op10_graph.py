@@ -4,7 +4,8 @@ Vectors are dealt to shards by a hash of their id. A shard's graph grows in batc
 medoid over the graph so far proposes neighbours, relaxed distance pruning (a candidate is dropped if a kept neighbour
 is nearer to it by the factor alpha) keeps near but diverse edges, and reverse edges are added and pruned alike. Graphs
 are files in the shared folder; a query runs a beam search in every shard, and the shards' finds are ranked together by
-exact distances in double precision.
+exact distances in double precision. Equal vectors of a shard are one node that lists its ids: copies would cover one
+another when edges are pruned, or fill all of them, and so lose each other and the rest.
 
 Scale: a shard holds about SHARD vectors whatever the table's size, so memory and time to build one are bounded; queries
 travel to the shards in blocks, and a task holds one batch of them and the mapped files of a few graphs. Ranking gathers
@@ -29,6 +30,8 @@ from treeline.llm.eliasfano import bundle, load
 
 SHARD, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 8192, 32, 64, 160, 1.2
 BATCH, EXPAND = 256, 4
+#: Exact distances computed at once.
+PAIRS = 1 << 16
 
 
 class Graph:
@@ -151,6 +154,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its vector, and the first row of each vector; numbers in the order of first rows."""
+    whole = np.ascontiguousarray(x + x.dtype.type(0))  # -0.0 becomes 0.0
+    _, first, number = np.unique(whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return place[number.ravel()], first[order]
+
+
+def _offsets(numbers: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.bincount(numbers)))).astype(np.int64)
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, place): counts[i] places from first[i] on, for each i."""
+    i = np.repeat(np.arange(len(counts)), counts)
+    return i, first[i] + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def grouped(v: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows in the order of v, equal ones together: the vectors x, their ids (those of x[i] are ids[at[i]:at[i + 1]]), and in nodes the ranges of vectors that are equal in single precision."""
+    vector, first = _distinct(x)
+    node, _ = _distinct(x[first].astype(np.float32))
+    order = np.argsort(node, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    vector = place[vector]
+    return {"ids": v[np.argsort(vector, kind="stable")], "at": _offsets(vector), "x": x[first[order]], "nodes": _offsets(node)}
+
+
 def _write_graphs(folder: str):
     def run(batches):
         ids: dict[tuple, list] = {}
@@ -164,10 +198,10 @@ def _write_graphs(folder: str):
         for key in ids:
             v, x = np.concatenate(ids[key]), np.concatenate(vectors.pop(key))
             order = np.argsort(v, kind="stable")
-            v, x = v[order], x[order]
-            g = Graph.build(x)
+            parts = grouped(v[order], x[order])
+            g = Graph.build(parts["x"][parts["nodes"][:-1]])
             path = f"{folder}/graph-{key[0]}-{key[1]}.bin"
-            write_file(path, bundle({"ids": v, "x": x, "edges": g.edges, "start": np.array([g.start])}))
+            write_file(path, bundle({**parts, "edges": g.edges, "start": np.array([g.start])}))
             yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([path])], names=["dim", "shard", "path"])
 
     return run
@@ -191,28 +225,53 @@ def _open(path: str) -> tuple:
         if len(_GRAPHS) >= 8:
             _GRAPHS.pop(next(iter(_GRAPHS)))
         f = load(local_file(path))
-        _GRAPHS[path] = (Graph(f["x"], f["edges"], int(f["start"][0])), f["ids"], f["x"])
+        _GRAPHS[path] = (Graph(f["x"][f["nodes"][:-1]], f["edges"], int(f["start"][0])), Members(f["ids"], f["at"], f["x"], f["nodes"]))
     return _GRAPHS[path]
 
 
+class Members:
+    """The rows behind a graph's nodes."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, x: np.ndarray, nodes: np.ndarray):
+        self.ids, self.at, self.x, self.nodes = ids, at, x, nodes
+        self.names, rank = np.unique(ids, return_inverse=True)
+        self.keys = np.repeat(np.arange(len(x)), np.diff(at)) * (len(self.names) + 1) + rank.ravel()
+
+    def nearest(self, found: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in q, id, distance) of the k nearest rows of the nodes found for each query, smaller ids first among equal ones, own ids left out."""
+        r, c = np.nonzero(found >= 0)
+        node = found[r, c]
+        i, one = _spread(self.nodes[node], self.nodes[node + 1] - self.nodes[node])
+        r = r[i]
+        score = np.empty(len(r))
+        for j in range(0, len(r), PAIRS):
+            diff = self.x[one[j : j + PAIRS]].astype(np.float64) - q[r[j : j + PAIRS]].astype(np.float64)
+            score[j : j + PAIRS] = np.sqrt(np.einsum("bd,bd->b", diff, diff))
+        # A vector's ids are sorted: those equal to the query's own are a run, which is stepped over.
+        rank = np.searchsorted(self.names, own)
+        rank[self.names[np.minimum(rank, len(self.names) - 1)] != own] = len(self.names)
+        key = one * (len(self.names) + 1) + rank[r]
+        low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        i, place = _spread(self.at[one], np.minimum(self.at[one + 1] - self.at[one] - (high - low), k))
+        ids = self.ids[place + np.where(place >= low[i], (high - low)[i], 0)]
+        r, score = r[i], score[i]
+        order = np.lexsort((ids, score, r))
+        order = order[np.arange(len(order)) - np.searchsorted(r[order], r[order]) < k]
+        return r[order], ids[order], score[order]
+
+
 def _ask(k: int, beam: int):
     def run(batches):
         for batch in batches:
             paths = np.array(batch.column("path").to_pylist())
             for path in dict.fromkeys(paths.tolist()):
                 part = batch.filter(pa.array(paths == path))
-                g, ids, x = _open(path)
+                g, members = _open(path)
                 query, q = part.column("query_id").to_numpy(), _matrix(part.column("embedding"))
                 for i in range(0, len(q), BATCH):
-                    found, _ = g.search(q[i : i + BATCH].astype(np.float32), min(beam, len(x)))
-                    diff = x[found].astype(np.float64) - q[i : i + BATCH, None].astype(np.float64)
-                    score = np.sqrt(np.einsum("bcd,bcd->bc", diff, diff))
-                    own = query[i : i + BATCH, None]
-                    score[(found < 0) | (ids[found] == own)] = np.inf
-                    order = np.lexsort((ids[found], score))[:, :k]
-                    score, names = np.take_along_axis(score, order, 1), np.take_along_axis(ids[found], order, 1)
-                    r, c = np.nonzero(np.isfinite(score))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r, 0]), pa.array(names[r, c]), pa.array(score[r, c])], names=["query_id", "vec_id", "score"])
+                    found, _ = g.search(q[i : i + BATCH].astype(np.float32), min(beam, len(g.x)))
+                    r, names, score = members.nearest(found, q[i : i + BATCH], query[i : i + BATCH], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[i : i + BATCH][r]), pa.array(names), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
