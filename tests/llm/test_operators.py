@@ -58,6 +58,16 @@ def test_quality_counts_and_verdicts(docs):
     assert op1_quality.keep_quality(docs).columns == docs.columns
 
 
+def test_quality_judges_rows_that_share_an_id(docs):
+    clean = [r for r in docs.filter("n_chars between 1500 and 4000").orderBy("doc_id").collect() if r["digest"] == "x"][:3]
+    (a, b, c), short = [tuple(r)[1:] for r in clean], ("too short", "en", "src0", 9, "y", 3)
+    rows = [(2001, *a), (2001, *short), (None, *b), (None, *short), (2002, *short), (2003, *c), (2003, *c)]
+    kept = op1_quality.keep_quality(docs.sparkSession.createDataFrame(rows, docs.schema).repartition(3))
+    assert kept.schema == docs.schema
+    assert Counter(map(tuple, kept.collect())) == Counter([(2001, *a), (None, *b), (2003, *c), (2003, *c)])
+    assert op1_quality.keep_quality(empty(docs)).count() == 0
+
+
 def test_chi_square():
     assert abs(op1_quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 

@@ -57,19 +57,20 @@ def chi2_quantile(p: float, dims: int) -> float:
     return high
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each row of docs."""
-    d = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+def statistics(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns carried along and the counts of each row of docs."""
+    own = ("doc_id", "lang", "source", *carried)
+    d = docs.select(*own, F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("*", words(F.col("text")).alias("w"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id", "lang", "source", "w", F.size("w").cast("long").alias("n_words"),
+        *own, "w", F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("l"),
     )
     windows = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     d = d.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", F.size("l").cast("long").alias("n_lines"),
+        *own, "n_words", "word_chars", "n_symbols", F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), windows.alias("t"),
     )
     # Sorted (window, place) pairs put equal windows side by side; only texts with a repeated window need them.
@@ -160,9 +161,9 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return saved(_estimate(near, ["gid"], 0.975 / _gamma_p(DIMS / 2 + 1, cut / 2)), "mcd")
 
 
-def quality_rules(docs: DataFrame, min_group: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
-    """Each row's counts, base_failed, its squared distance d2 (null: rules alone) and kept."""
-    stats = statistics(docs)
+def _judged(docs: DataFrame, carried: tuple[str, ...] = (), min_group: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
+    """Each row's doc_id, the columns carried along, counts, base_failed, its squared distance d2 (null: rules alone) and kept."""
+    stats = statistics(docs, carried)
     columns = {c: F.col(c) for c in ("n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     stats = stats.select("*", *(x.alias(_X[i]) for i, x in enumerate(vector(columns))))
     own, pooled = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
@@ -175,13 +176,18 @@ def quality_rules(docs: DataFrame, min_group: int = 200, confidence: float = CON
     found = estimates(vectors).join(enough, "gid", "left_semi")
     judged = grouped.join(found, "gid", "left").withColumn("d2", _distance())
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(confidence, DIMS))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "d2", "n_lines")
+    return judged.withColumn("kept", verdict)
+
+
+def quality_rules(docs: DataFrame, min_group: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
+    """Each row's counts, base_failed, its squared distance d2 (null: rules alone) and kept."""
+    return _judged(docs, (), min_group, confidence).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "n_lines")
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep. Rows that share a doc_id stay only if all of them are kept."""
-    dropped = quality_rules(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_dropped"]), "left_anti")
+    """The rows of docs that the rules keep, each by its own verdict: rows are written whole beside their counts, and read again."""
+    whole = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    return _judged(whole, ("_row",)).filter("kept").select("_row.*")
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
