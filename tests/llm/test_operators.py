@@ -157,6 +157,18 @@ def test_near_duplicates(docs, n):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    edited = lambda w, at: " ".join([*w[:at], "edited", *w[at + 1 :]])
+    a, b, long_ = text(100), text(120), text(1000)
+    rows = [(1, edited(a, 50)), (7, " ".join(a)), (7, " ".join(long_)), (7, " ".join(b)), (12, edited(b, 30)), (20, edited(long_, 500)), (21, " ".join(text(100))), (21, " ".join(text(1000))), (22, None), (22, edited(a, 20))]
+    got = op4_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((d, 21 if d == 21 else 1) for d, _ in rows)
+    one = op4_minhash.near_duplicates(spark.createDataFrame(rows[:3], "doc_id long, text string"), 5).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in one} == {(1, 1), (7, 1)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (3, None)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -6,7 +6,7 @@ all its pairs: the most central members (those in the largest buckets) are compa
 contracted into components, and further members serve as centres only while a bucket still spans several components,
 twice as many each round. Before that, shingles that no other member holds are counted for each: a document with too many
 of them for the similarity can't be linked and leaves its buckets, which spares the comparisons among heavily edited
-copies of one text. So a bucket of thousands of copies costs about as many comparisons as it has members, and
+copies of one text; each text of a doc_id with several is counted, and takes its turns, on its own. So a bucket of thousands of copies costs about as many comparisons as it has members, and
 still every pair of different components that shares a bucket is compared in the end. Pairs pass a check of their
 signatures, then their full shingle sets are compared exactly.
 
@@ -55,26 +55,37 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(k + np.arange(BANDS, dtype=np.uint64) * _MULTIPLIERS[8])
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s, digest_size=16).digest()
+
+
+def _part(digest: bytes) -> int:
+    """Tells the texts of one doc_id apart."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _sketches(n: int):
     def run(batches):
         for batch in batches:
             h, at = word_hashes(batch.column("text"))
-            sizes, digests, sigs, bands = [], [], [], []
+            sizes, digests, parts, sigs, bands = [], [], [], [], []
             for i in range(batch.num_rows):
                 s = shingle_set(h[at[i] : at[i + 1]], n)
                 sizes.append(len(s))
                 if len(s):
                     sig = signature(s)
-                    digests.append(hashlib.blake2b(s, digest_size=16).digest())
+                    digests.append(_digest(s))
+                    parts.append(_part(digests[-1]))
                     sigs.append(sig.view(np.int32))
                     bands.append(_band_keys(sig).view(np.int64))
                 else:
                     digests.append(None)
+                    parts.append(None)
                     sigs.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "sig", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "part", "sig", "bands"],
             )
 
     return run
@@ -97,17 +108,19 @@ def _elements(n: int):
             h, at = word_hashes(batch.column("text"))
             for i in range(0, batch.num_rows, 64):
                 sets = [shingle_set(h[at[j] : at[j + 1]], n) for j in range(i, min(i + 64, batch.num_rows))]
+                sizes = [len(s) for s in sets]
                 ids = batch.column("doc_id").slice(i, 64).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s in sets]), pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["id", "h"])
+                parts = np.array([_part(_digest(s)) if m else 0 for s, m in zip(sets, batch.column("many").slice(i, 64).to_pylist())], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.repeat(parts, sizes)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["id", "part", "h"])
 
     return run
 
 
 def _reach(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, lone): how many of a document's shingles stand in no other of the documents ids; no pair among them can share those."""
-    wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(_elements(n), "id long, h long")
-    alone = wanted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    """(id, part, lone): how many of a text's shingles stand in no other of the documents ids (id, many); no pair among them can share those."""
+    wanted = docs.join(ids, docs["doc_id"] == ids["id"]).select("doc_id", "text", "many").mapInArrow(_elements(n), "id long, part long, h long")
+    alone = wanted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("part").alias("part")).filter("n = 1")
+    return alone.groupBy("id", "part").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -129,48 +142,51 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, pe
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept (it is its component's smallest doc_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, digest binary, sig array<int>, bands array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, part long, sig array<int>, bands array<long>"
     sketches = saved(docs.mapInArrow(_sketches(n), schema), "sketches")
     known = sketches.filter("doc_id is not null and digest is not null")
+    # part tells the texts of a doc_id apart, and is 0 where it has one only.
+    several = saved(known.groupBy("doc_id").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("doc_id", F.lit(True).alias("many")), "several")
+    known = known.join(several, "doc_id", "left").withColumn("part", F.when(F.col("many"), F.col("part")).otherwise(F.lit(0).cast("long"))).withColumn("many", F.coalesce("many", F.lit(False)))
     classes = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last"), "classes")
     classed = known.select("doc_id", "digest").join(classes, "digest")
     links = classed.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     others = classed.filter("doc_id <> rep").select("doc_id", "digest")
     reps = known.join(others, ["doc_id", "digest"], "left_anti")
 
-    members = reps.select("doc_id", F.explode("bands").alias("key")).distinct()
+    members = reps.select("doc_id", "part", "many", F.explode("bands").alias("key")).distinct()
     shared = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
     members = members.join(shared, "key")
-    score = members.groupBy("doc_id").agg(F.sum("m").alias("score"))
+    score = members.groupBy("doc_id", "part").agg(F.sum("m").alias("score"))
     # Buckets with the same members say the same: one of them is enough, told by an order-free digest.
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "part").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("doc_id", "part", F.lit(1))).alias("x"))
     chosen = same.groupBy("n", "h", "x").agg(F.min("key").alias("key")).select("key")
-    state = saved(members.join(chosen, "key").join(score, "doc_id").select("key", "doc_id", "score"), "members")
+    state = saved(members.join(chosen, "key").join(score, ["doc_id", "part"]).select("key", "doc_id", "part", "many", "score"), "members")
     # A pair of n and m shingles must share percent / (100 + percent) of n + m: more than either holds that any other member has can't be.
-    lone = saved(_reach(docs, state.select(F.col("doc_id").alias("id")).distinct(), n), "lone")
-    sized = reps.select("doc_id", F.col("n_shingles").alias("n")).distinct().join(lone.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    state = state.join(sized.select("doc_id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("reach")), "doc_id")
+    lone = saved(_reach(docs, state.select(F.col("doc_id").alias("id"), "many").distinct(), n), "lone")
+    sized = reps.select("doc_id", "part", F.col("n_shingles").alias("n")).distinct().join(lone.withColumnRenamed("id", "doc_id"), ["doc_id", "part"], "left")
+    state = state.join(sized.select("doc_id", "part", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("reach")), ["doc_id", "part"])
     fewest = state.groupBy("key").agg(F.min("n").alias("fewest"))
     state = state.join(fewest, "key").filter(100 * percent * F.col("n") + percent * F.greatest(100 * F.col("fewest"), percent * F.col("n")) <= 100 * (100 + percent) * F.col("reach"))
-    state = saved(state.select("key", "doc_id", "score", "n", "reach", F.col("doc_id").alias("comp")), "members")
+    state = saved(state.select("key", "doc_id", "part", "score", "n", "reach", F.col("doc_id").alias("comp")), "members")
     centres, found = 1, saved(links, "links")
     possible = percent * (F.col("n") + F.col("c_n")) <= (100 + percent) * F.least("reach", "c_reach", "n", "c_n")
     # members of a bucket's small components first: once they have met all others, the bucket is settled
-    best_first = Window.partitionBy("key").orderBy("held", F.desc("score"), "doc_id")
+    best_first = Window.partitionBy("key").orderBy("held", F.desc("score"), "doc_id", "part")
     while True:
         open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         waiting = saved(state.join(open_, "key"), "open")
         if waiting.isEmpty():
             break
         held = waiting.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"))
-        chosen = saved(waiting.join(held, ["key", "comp"]).withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= centres).select("key", *(F.col(x).alias(y) for x, y in (("doc_id", "c"), ("comp", "c_comp"), ("n", "c_n"), ("reach", "c_reach")))), "centres")
+        chosen = saved(waiting.join(held, ["key", "comp"]).withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= centres).select("key", *(F.col(x).alias(y) for x, y in (("doc_id", "c"), ("part", "c_part"), ("comp", "c_comp"), ("n", "c_n"), ("reach", "c_reach")))), "centres")
         pairs = waiting.join(chosen, "key").filter((F.col("comp") != F.col("c_comp")) & possible).select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
         new = saved(_verified(pairs, sketches.filter("digest is not null"), docs, n, percent), "links")
         found = found.unionByName(new)
-        tried = chosen.select("key", F.col("c").alias("doc_id"), F.lit(True).alias("tried"))
-        waiting = waiting.join(tried, ["key", "doc_id"], "left").filter("tried is null").drop("tried")
+        tried = chosen.select("key", F.col("c").alias("doc_id"), F.col("c_part").alias("part"), F.lit(True).alias("tried"))
+        waiting = waiting.join(tried, ["key", "doc_id", "part"], "left").filter("tried is null").drop("tried")
         joined = connected_components(waiting.select(F.col("doc_id").alias("u"), F.col("comp").alias("v")).unionByName(new).unionByName(chosen.select(F.col("c").alias("u"), F.col("c_comp").alias("v"))))
-        state = saved(waiting.drop("comp").join(joined.select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").select("key", "doc_id", "score", "n", "reach", F.coalesce("comp", "doc_id").alias("comp")), "members")
+        state = saved(waiting.drop("comp").join(joined.select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").select("key", "doc_id", "part", "score", "n", "reach", F.coalesce("comp", "doc_id").alias("comp")), "members")
         centres *= 2
     components = saved(connected_components(found), "components")
     out = sketches.select("doc_id", "n_shingles").join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
