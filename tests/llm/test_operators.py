@@ -68,6 +68,17 @@ def test_quality_judges_rows_that_share_an_id(docs):
     assert op1_quality.keep_quality(empty(docs)).count() == 0
 
 
+def test_quality_estimates_small_sources_alone(spark):
+    rng = np.random.default_rng(4)
+    text = lambda mark: " ".join(f"w{i:05d}" + mark * (i % 3) for i in rng.integers(0, 10**5, int(rng.integers(90, 160))))
+    rows = [(i, text("#" if i % 2 else ""), "en", "marked" if i % 2 else "plain", 0) for i in range(120)]
+    rows += [(200, text("#"), "en", "plain", 0)] + [(300 + i, text(""), "en", None, 0) for i in range(40)] + [(400 + i, text("#"), "en", "tiny", 0) for i in range(15)]
+    got = {r["doc_id"]: r for r in op1_quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [d for d, r in got.items() if not r["kept"]] == [200]
+    assert {d for d, r in got.items() if r["d2"] is None} == set(range(400, 415))  # not pooled with the rows of no source
+
+
 def test_chi_square():
     assert abs(op1_quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 

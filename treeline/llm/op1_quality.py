@@ -34,6 +34,8 @@ STEPS = 4
 #: Rejected beyond this probability of a chi-square distribution; clean text has heavier tails than a normal one, hence so near 1.
 CONFIDENCE = 1 - 1e-7
 BINS_PER_OCTAVE = 16
+#: Usable rows from which a language and source has an estimate of its own: five for each dimension.
+MIN_GROUP = 5 * DIMS
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -161,12 +163,12 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return saved(_estimate(near, ["gid"], 0.975 / _gamma_p(DIMS / 2 + 1, cut / 2)), "mcd")
 
 
-def _judged(docs: DataFrame, carried: tuple[str, ...] = (), min_group: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
+def _judged(docs: DataFrame, carried: tuple[str, ...] = (), min_group: int = MIN_GROUP, confidence: float = CONFIDENCE) -> DataFrame:
     """Each row's doc_id, the columns carried along, counts, base_failed, its squared distance d2 (null: rules alone) and kept."""
     stats = statistics(docs, carried)
     columns = {c: F.col(c) for c in ("n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     stats = stats.select("*", *(x.alias(_X[i]) for i, x in enumerate(vector(columns))))
-    own, pooled = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    own, pooled = (F.to_json(F.struct(*c), {"ignoreNullFields": "false"}) for c in (("lang", "source"), ("lang",)))  # never equal, as only one names a source
     stats = saved(stats.withColumns({"own": own, "pooled": pooled}).drop("lang", "source"), "quality")
     usable = stats.filter(~F.col("base_failed"))
     large = saved(usable.groupBy("own").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_group).select("own", F.lit(True).alias("large")), "quality-groups")
@@ -179,7 +181,7 @@ def _judged(docs: DataFrame, carried: tuple[str, ...] = (), min_group: int = 200
     return judged.withColumn("kept", verdict)
 
 
-def quality_rules(docs: DataFrame, min_group: int = 200, confidence: float = CONFIDENCE) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, confidence: float = CONFIDENCE) -> DataFrame:
     """Each row's counts, base_failed, its squared distance d2 (null: rules alone) and kept."""
     return _judged(docs, (), min_group, confidence).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "n_lines")
 
