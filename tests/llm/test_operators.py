@@ -195,6 +195,15 @@ def test_html():
     assert op5_html.main_text(None) == op5_html.main_text("") == op5_html.main_text("<nav>x") == ""
 
 
+def test_html_names_do_not_remove_the_article():
+    text = "A paragraph with a good number of words in it, more than enough to surge and be the main text."
+    for open_, end in (("<div class='layout with-sidebar'><article>", "</article></div>"), ("<div class='post comments-open'>", "</div>"), ("<div class='sidebar'><main>", "</main></div>")):
+        page = f"<body><nav>menu</nav>{open_}<h2 id='related-work'>Related</h2><p>{text}</p><h2 id=search-trees>Trees</h2><p>So <math><mi>x</mi></math> it is.</p><div class='share-links'>tweet</div>{end}<p>(c) us</p>"
+        assert op5_html.main_text(page) == f"Related\n\n{text}\n\nTrees\n\nSo x it is.", open_
+    comments = f"<article><p>{text}</p><div class='related-posts'><article>teaser</article></div></article><div class='comments-area'><article class='comment'>{text * 3}</article></div><div class='ad'>{text * 9}</div>"
+    assert op5_html.main_text(comments) == text
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 

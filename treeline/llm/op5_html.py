@@ -30,7 +30,7 @@ WINDOW, SURGE = 3, 80
 LINKED = 0.6
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -40,6 +40,7 @@ _CONTAINERS = frozenset("article main div section td".split())
 _NEVER = frozenset("nav aside footer form button dialog menu fieldset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_EARLY = frozenset("p li dt dd td th tr option".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
@@ -50,28 +51,73 @@ _NAMES = frozenset(
 )
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _named(tag: str, attributes: str) -> int:
+    """2 if a class or id is a word of _NAMES, 1 if one has such a word among others, else 0; a heading's id names its subject and says nothing."""
+    found = 0
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "class" or (name == "id" and tag not in _HEADINGS):
+            for word in "".join(values).lower().split():
+                if word in _NAMES:
+                    return 2
+                found = found or int(not _NAMES.isdisjoint(_PARTS.findall(word)))
+    return found
+
+
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> int:
+    """3 if the element's tag or role says that it is never part of an article, else what its names say."""
     if tag in _NEVER or (tag == "header" and not inside_article):
-        return True
+        return 3
     if "=" not in attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "role" and value in _ROLES:
-            return True
-        if name in ("class", "id") and any(_NAMES.intersection(_PARTS.findall(word)) for word in value.split()):
-            return True
-    return False
+        return 0
+    if any(name.lower() == "role" and "".join(values).lower() in _ROLES for name, *values in _ATTRIBUTE.findall(attributes)):
+        return 3
+    return _named(tag, attributes)
 
 
-def lines_of(page: str) -> list[tuple[str, tuple, float]]:
-    """(text, containers it stands in, share of it in links) of each block in page order; removed elements are empty lines. A container is (number, tag)."""
+def _extents(page: str) -> dict[int, tuple[bool, bool, float]]:
+    """For each element with an end, by where it starts: whether it holds a main, whether an article with no name of _NAMES, and its share of the page's text."""
+    text = mains = articles = at = 0
+    opened: dict[str, list] = {}
+    held = {}
+    for m in _TOKEN.finditer(page):
+        text += len(page[at : m.start()].strip())
+        at = m.end()
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if m[2]:
+            if opened.get(tag):
+                start, *before = opened[tag].pop()
+                held[start] = (mains > before[0], articles > before[1], text - before[2])
+        elif tag not in _VOID and not m[4].rstrip().endswith("/"):
+            mains += tag == "main"
+            articles += tag == "article" and not _named(tag, m[4])
+            opened.setdefault(tag, []).append((m.start(), mains, articles, text))
+    text += len(page[at:].strip())
+    for start, *before in (x for stack in opened.values() for x in stack):  # unclosed: to the end of the page
+        held[start] = (mains > before[0], articles > before[1], text - before[2])
+    return {start: (main, article, size / max(text, 1)) for start, (main, article, size) in held.items()}
+
+
+def lines_of(page: str, wide: bool = False) -> list[tuple[str, tuple, float]]:
+    """(text, containers it stands in, share of it in links) of each block in page order; removed elements are empty lines. A container is (number, tag).
+
+    Names alone don't remove what holds the page's main or, outside any article, an article; nor, if wide, what holds most of the text and has a name that only contains a listed word."""
     out: list[tuple[str, tuple, float]] = []
     text: list[str] = []
     linked = length = links = 0
     inside: list[tuple[int, str]] = []
     count = articles = 0
     skipped, depth = "", 0
+    extents = None
+
+    def spared(start: int, named: int) -> bool:
+        nonlocal extents
+        extents = _extents(page) if extents is None else extents
+        main, article, share = extents.get(start, (False, False, 0.0))
+        most = share > 0.5
+        return main or (article and not articles and (named == 1 or most)) or (wide and named == 1 and most)
 
     def flush() -> None:
         nonlocal linked, length
@@ -113,7 +159,7 @@ def lines_of(page: str) -> list[tuple[str, tuple, float]]:
             text.append(" ")
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
-        if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and _unwanted(tag, m[4], articles > 0):
+        if not closing and tag not in _VOID and not m[4].rstrip().endswith("/") and (named := _unwanted(tag, m[4], articles > 0)) and (named == 3 or not spared(m.start(), named)):
             flush()
             out.append(("", tuple(inside), 0.0))
             skipped, depth = tag, 1
@@ -154,14 +200,17 @@ def core(lines: list[tuple[str, tuple, float]]) -> tuple[int, int]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
+    sizes = [len(t) for t, _, _ in lines]
+    if not any(sum(sizes[i : i + WINDOW]) >= SURGE for i in range(len(sizes))):  # the main text may stand in what was removed
+        lines = lines_of(page or "", wide=True)
     a, b = core(lines)
-    sizes: dict[tuple, int] = {}
+    held_text: dict[tuple, int] = {}
     for t, inside, _ in lines[a:b]:
         if t:
             article = [k for k, x in enumerate(inside) if x[1] in _ARTICLES]
             place = inside[: article[-1] + 1] if article else ()
-            sizes[place] = sizes.get(place, 0) + len(t)
-    held = max(sizes, key=lambda k: (sizes[k], -len(k)), default=())
+            held_text[place] = held_text.get(place, 0) + len(t)
+    held = max(held_text, key=lambda k: (held_text[k], -len(k)), default=())
     if not held:  # the innermost container of all of the core
         places = [inside for t, inside, _ in lines[a:b] if t]
         while places and len(held) < min(map(len, places)) and len({p[len(held)] for p in places}) == 1:
