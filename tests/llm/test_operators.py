@@ -261,6 +261,24 @@ def test_chat(spark):
     assert {r["conv_id"]: r["loss"] for r in back} == {k: "".join(t for role, t in v if role == "assistant") for k, v in turns.items()}
 
 
+def test_chat_layouts_with_parts_and_input(spark):
+    import json
+
+    part = lambda *texts: [{"type": "text", "text": t} for t in texts]
+    listed = json.dumps(part("no part"))
+    cases = {
+        1: {"messages": [{"role": "user", "content": part("a [b", "c")}, {"role": "assistant", "content": listed}, {"role": "user", "content": None}]}, 2: {"id": 5, "instruction": "i", "input": "x", "output": "o"},
+        3: {"instruction": "i", "input": "", "output": "o", "system": "s"}, 4: {"id": "r", "system": "s", "messages": [{"role": "user", "content": part("p")}]},
+        5: {"messages": [{"role": "user", "content": [{"type": "text", "body": {"deep": [1]}}]}]}, 6: {"messages": [{"role": "user", "content": listed}, {"role": "assistant", "content": "{x} <y: Z, [w"}]},
+    }
+    expected = {
+        1: ("messages_parts", [("user", "a [bc"), ("assistant", listed), ("user", "")]), 2: ("instruction_input", [("user", "i\n\nx"), ("assistant", "o")]),
+        3: ("instruction_input_system", [("system", "s"), ("user", "i"), ("assistant", "o")]), 4: ("system_messages_parts", [("system", "s"), ("user", "p")]), 5: (None, []), 6: ("messages", [("user", listed), ("assistant", "{x} <y: Z, [w")]),
+    }
+    got = op8_chat.canonical(spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], "conv_id long, record string")).collect()
+    assert {r["conv_id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in got} == expected
+
+
 def test_language(docs, spark):
     train = docs.filter("doc_id % 4 <> 2")
     model = op9_language.fit(train)

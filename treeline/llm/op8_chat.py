@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a JSON object of any known layout. The fingerprint is a hash of its nested field paths (array elements count
-as one path); it selects a declarative mapping, which yields canonical turns (role, text). The template marks each turn
+as one path; what lies deeper is told by its whole schema), an `id` apart; it selects a declarative mapping, which yields canonical turns (role, text). The template marks each turn
 with control strings, escapes control strings inside texts reversibly, and a loss mask names the character ranges of the
 assistant's texts.
 
@@ -28,14 +28,19 @@ TURNS = "array<struct<role:string,text:string>>"
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted nested field paths of a JSON object, three levels deep: `a`, `a.b`, `a[].b`."""
+    """The sorted nested field paths of a JSON object: `a`, `a.b`, `a[].b`, and for an `a` or `a[]` with lists or objects in it also its schema without the types of leaves, as `a[]: OBJECT<b: ARRAY<OBJECT<c>>>`."""
     top = F.coalesce(F.from_json(record, "map<string,string>"), F.create_map().cast("map<string,string>"))
     below = lambda prefix, value: F.transform(F.map_keys(F.coalesce(F.from_json(value, "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda k: F.concat(prefix, k))
 
+    def fields_of(prefix: Column, sign: str, value: Column) -> Column:
+        schema = F.regexp_replace(F.schema_of_variant(F.try_parse_json(value)), r": [A-Z]+(\([0-9, ]+\))?(?=[,>])", "")
+        deep = F.when(F.regexp_like(value, F.lit(r"(?s)^.+[\[{]")) & F.regexp_like(schema, F.lit("<.*<")), F.array(F.concat(prefix, F.lit(": "), schema)))
+        return F.concat(below(F.concat(prefix, F.lit(sign)), value), F.coalesce(deep, F.array().cast("array<string>")))
+
     def inner(key: Column, value: Column) -> Column:
         items = F.from_json(value, "array<string>")
-        fields = F.array_distinct(F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.when(x.startswith("{"), below(F.concat(key, F.lit("[].")), x)).otherwise(F.array(F.concat(key, F.lit("[]")))))))
-        return F.when(value.startswith("["), fields).when(value.startswith("{"), below(F.concat(key, F.lit(".")), value)).otherwise(F.array(key))
+        fields = F.array_distinct(F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.when(x.startswith("{"), fields_of(F.concat(key, F.lit("[]")), ".", x)).otherwise(F.array(F.concat(key, F.lit("[]")))))))
+        return F.when(value.startswith("["), fields).when(value.startswith("{"), fields_of(key, ".", value)).otherwise(F.array(key))
 
     return F.array_sort(F.flatten(F.transform(F.map_entries(top), lambda e: inner(e["key"], F.coalesce(e["value"], F.lit(""))))))
 
@@ -46,41 +51,52 @@ def fingerprint(paths: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths, and how they make turns: fixed fields as (role, field), or a list's (field, role field, text field), whose roles are renamed."""
+    """Field paths, and how they make turns: fixed fields as (role, fields, which stand one below the other), or a list's (field, role field, text field), whose roles are renamed; with parts, a text may be a list of {type, text}, put together."""
 
     name: str
     paths: tuple[str, ...]
-    fields: tuple[tuple[str, str], ...] = ()
+    fields: tuple[tuple[str, ...], ...] = ()
     items: tuple[str, str, str] | None = None
+    parts: bool = False
 
     def turns(self, record: Column) -> Column:
         value = lambda f: F.get_json_object(record, f"$.{f}")
-        before = F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(value(f), F.lit("")).alias("text")) for role, f in self.fields)) if self.fields else F.array().cast(TURNS)
+        joined = lambda fs: F.coalesce(value(fs[0]), F.lit("")) if len(fs) == 1 else F.concat_ws("\n\n", *(F.nullif(value(f), F.lit("")) for f in fs))
+        before = F.array(*(F.struct(F.lit(role).alias("role"), joined(fs).alias("text")) for role, *fs in self.fields)) if self.fields else F.array().cast(TURNS)
         if not self.items:
             return before
         field, role, text = self.items
         items = F.from_json(value(field), f"array<struct<`{role}`:string,`{text}`:string>>")
         names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
         renamed = lambda r: F.coalesce(names[r], r) if role != "role" else r
-        listed = F.transform(items, lambda x: F.struct(F.coalesce(renamed(x[role]), F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+        said = lambda x, i: x[text]
+        if self.parts:  # null where the text is a string, whatever stands in it
+            lists = F.from_json(value(field), f"array<struct<`{text}`:array<struct<type:string,text:string>>>>")
+            said = lambda x, i: F.coalesce(F.array_join(F.transform(F.get(lists, i)[text], lambda y: y["text"]), ""), x[text])
+        listed = F.transform(items, lambda x, i: F.struct(F.coalesce(renamed(x[role]), F.lit("")).alias("role"), F.coalesce(said(x, i), F.lit("")).alias("text")))
         return F.concat(before, F.coalesce(listed, F.array().cast(TURNS)))
 
 
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+_PARTS = "messages[]: OBJECT<content: ARRAY<OBJECT<text, type>>, role>"
 LAYOUTS = (
     Layout("prompt", ("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", ("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
     Layout("instruction", ("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Layout("instruction_system", ("instruction", "output", "system"), (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Layout("instruction_input", ("input", "instruction", "output"), (("user", "instruction", "input"), ("assistant", "output"))),
+    Layout("instruction_input_system", ("input", "instruction", "output", "system"), (("system", "system"), ("user", "instruction", "input"), ("assistant", "output"))),
     Layout("messages", ("messages[].content", "messages[].role"), items=("messages", "role", "content")),
     Layout("system_messages", ("messages[].content", "messages[].role", "system"), (("system", "system"),), ("messages", "role", "content")),
+    Layout("messages_parts", ("messages[].content", "messages[].role", _PARTS), items=("messages", "role", "content"), parts=True),
+    Layout("system_messages_parts", ("messages[].content", "messages[].role", _PARTS, "system"), (("system", "system"),), ("messages", "role", "content"), True),
     Layout("conversations", ("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
 )
 
 
 def canonical(records: DataFrame, key: str = "conv_id", column: str = "record") -> DataFrame:
     """key, layout and turns of each JSON record."""
-    d = records.select(F.col(key), F.col(column).alias("record"), fingerprint(field_paths(F.col(column))).alias("print"))
+    d = records.select(F.col(key), F.col(column).alias("record"), fingerprint(F.array_remove(field_paths(F.col(column)), "id")).alias("print"))
     known = [(x, F.col("print") == fingerprint(F.array(*map(F.lit, sorted(x.paths))))) for x in LAYOUTS]
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for x, matches in known:
