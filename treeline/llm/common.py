@@ -27,10 +27,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of a batch that goes to a Python worker, about; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+#: Most bytes of a table that is broadcast, by a count of its rows.
+BROADCAST_BYTES = 32 << 20
+
+
+def release() -> None:
+    """Give memory that this process no longer uses back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_python(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by bytes, and memory released at the end of each task, as workers are used again."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def bounded(small: DataFrame, size: int) -> DataFrame:
+    """small, to be broadcast if it has few bytes: the other side's rows, a hot key's included, then stay where they are. Else the join shuffles."""
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none, a folder of our own."""
+    """The folder that driver and executors share. Only in local mode, as in tests, is it a folder of our own where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treeline-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

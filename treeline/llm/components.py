@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each step takes the minimum of each node's neighbours, combined before the shuffle, and joins it back by the node;
     a hub's rows are split by the adaptive skew join. Ids are longs; self loops and repeated edges do no harm; null ends
-    are ignored; no edges give no rows. Rounds grow with the logarithm of the graph.
+    are ignored; no edges give no rows. Rounds grow with the logarithm of the graph; beyond max_rounds it raises.
     """
     now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct(), "edges")
     before = _state(now)
@@ -34,5 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        if before[0]:
+            raise RuntimeError(f"components not found within {max_rounds} rounds")
     ends = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

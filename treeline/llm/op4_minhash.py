@@ -1,17 +1,18 @@
 """Near-duplicates: minima of many universal hashes, banding, signature verification, and connected components.
 
-Scale: texts go to Python once, a batch at a time, and come back as a digest of the shingle set, the signature and the
-band keys; texts with equal sets collapse into a class before any pair is made. A band's bucket is never expanded into
-all its pairs: the most central members (those in the largest buckets) are compared with the others, the links found are
-contracted into components, and further members serve as centres only while a bucket still spans several components,
-twice as many each round. Before that, shingles that no other member holds are counted for each: a document with too many
-of them for the similarity can't be linked and leaves its buckets, which spares the comparisons among heavily edited
-copies of one text; each text of a doc_id with several is counted, and takes its turns, on its own. So a bucket of thousands of copies costs about as many comparisons as it has members, and
-still every pair of different components that shares a bucket is compared in the end. Pairs pass a check of their
-signatures, then their full shingle sets are compared exactly.
-
-A pair of similarity 0.8 shares none of the 28 bands of 4 minima with probability 4e-7; a signature that is off by 0.2
-(over five standard deviations) has a lower one still.
+Scale: texts go to Python twice, a batch at a time: all of them for a digest of the shingle set, the signature and the
+band keys, and those that share a bucket with another text for their sets. Texts with equal sets are one class, and what
+follows works on classes. A band's bucket is never expanded into its pairs. First its most central member (that with the
+largest buckets) is compared with the others: signatures decide which of these pairs are compared on full sets, and the
+links are contracted into components, which settles nearly all buckets. In the buckets that still hold several components,
+shingles that no other open text holds are counted: a text with too many of them for the similarity can't be linked and
+leaves. What is left is compared in full: the members outside a bucket's largest component with all of its members, by an
+index from shingles to members that gives the exact size of every intersection. A bucket is cut into tiles of about TILE
+shingles for it, and only links leave a tile. So a bucket of thousands of copies costs about as many comparisons as it
+has members, and still every pair of different components that shares a bucket is compared in the end.
+
+A pair of similarity 0.8 shares none of the 28 bands of 4 minima with probability 4e-7. Signatures keep a byte of each
+minimum, which can only make them more alike; that of such a pair falls 0.2 below with probability 4e-7 at most.
 
 Defined cases: null or wordless text has the empty set and is linked with nothing; a text of fewer words than a shingle
 is one shingle as a whole; rows that share a doc_id are one document with the links of each; rows with a null doc_id are
@@ -24,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import saved, table
+from treeline.llm.common import bounded, discard, in_python, saved, table
 from treeline.llm.components import connected_components
 from treeline.llm.tokens import _MULTIPLIERS, mix, shingle_set, word_hashes
 
@@ -40,6 +42,10 @@ _B = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 WIDTH = 4096
 #: How far below the threshold a signature may be.
 SLACK = 0.2
+#: Shingles of a tile's members, about; a member is never split.
+TILE = 1 << 18
+#: Rows whose sets leave Python at once.
+STEP = 64
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -59,33 +65,21 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s, digest_size=16).digest()
 
 
-def _part(digest: bytes) -> int:
-    """Tells the texts of one doc_id apart."""
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def _sketches(n: int):
     def run(batches):
         for batch in batches:
             h, at = word_hashes(batch.column("text"))
-            sizes, digests, parts, sigs, bands = [], [], [], [], []
+            sizes, digests, sigs, bands = [], [], [], []
             for i in range(batch.num_rows):
                 s = shingle_set(h[at[i] : at[i + 1]], n)
                 sizes.append(len(s))
-                if len(s):
-                    sig = signature(s)
-                    digests.append(_digest(s))
-                    parts.append(_part(digests[-1]))
-                    sigs.append(sig.view(np.int32))
-                    bands.append(_band_keys(sig).view(np.int64))
-                else:
-                    digests.append(None)
-                    parts.append(None)
-                    sigs.append(None)
-                    bands.append(None)
+                sig = signature(s) if len(s) else None
+                digests.append(_digest(s) if len(s) else None)
+                sigs.append(sig.astype(np.uint8).view(np.int8) if len(s) else None)
+                bands.append(_band_keys(sig).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(parts, pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "part", "sig", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int8())), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "sig", "bands"],
             )
 
     return run
@@ -95,109 +89,146 @@ def _sets(n: int):
     def run(batches):
         for batch in batches:
             h, at = word_hashes(batch.column("text"))
-            for i in range(batch.num_rows):
-                s = shingle_set(h[at[i] : at[i + 1]], n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1).cast(pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], names=["id", "s"])
+            for i in range(0, batch.num_rows, STEP):
+                sets = [shingle_set(h[at[j] : at[j + 1]], n) for j in range(i, min(i + STEP, batch.num_rows))]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "s"])
 
     return run
 
 
-def _elements(n: int):
+class Tile:
+    """Members of a bucket, indexed by their shingles."""
+
+    def __init__(self, sets: list[np.ndarray], reps: np.ndarray, comps: np.ndarray):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.reps, self.comps = reps, comps
+        h = np.concatenate(sets)
+        order = np.argsort(h, kind="stable")
+        self.h, self.member = h[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def links(self, s: np.ndarray, comp: int, percent: int) -> np.ndarray:
+        """The reps of members of other components that are as similar to the set s as asked."""
+        low, high = np.searchsorted(self.h, s, "left"), np.searchsorted(self.h, s, "right")
+        counts = high - low
+        places = np.arange(int(counts.sum())) + np.repeat(low - (np.cumsum(counts) - counts), counts)
+        shared = np.bincount(self.member[places], minlength=len(self.sizes))
+        return self.reps[(100 * shared >= percent * (len(s) + self.sizes - shared)) & (self.comps != comp)]
+
+
+def _compare(percent: int):
+    """Links (u, v) among rows in the order of tiles, in each of them members (kind 0) before those compared with them."""
+
     def run(batches):
+        now, tile, held = None, None, []
         for batch in batches:
-            h, at = word_hashes(batch.column("text"))
-            for i in range(0, batch.num_rows, 64):
-                sets = [shingle_set(h[at[j] : at[j + 1]], n) for j in range(i, min(i + 64, batch.num_rows))]
-                sizes = [len(s) for s in sets]
-                ids = batch.column("doc_id").slice(i, 64).to_numpy(zero_copy_only=False)
-                parts = np.array([_part(_digest(s)) if m else 0 for s, m in zip(sets, batch.column("many").slice(i, 64).to_pylist())], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.repeat(parts, sizes)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["id", "part", "h"])
+            keys = list(zip(batch.column("key").to_pylist(), batch.column("chunk").to_pylist()))
+            kinds, reps, comps = (batch.column(c).to_numpy() for c in ("kind", "rep", "comp"))
+            values, at = batch.column("s").flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("s")).to_numpy())))
+            u, v = [], []
+            for i in range(batch.num_rows):
+                if keys[i] != now:
+                    now, tile, held = keys[i], None, []
+                s = values[at[i] : at[i + 1]]
+                if kinds[i] == 0:
+                    held.append((s, reps[i], comps[i]))
+                elif held:
+                    if tile is None:
+                        tile = Tile([x[0] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held]))
+                    found = tile.links(s, comps[i], percent)
+                    u += [reps[i]] * len(found)
+                    v += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _reach(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, part, lone): how many of a text's shingles stand in no other of the documents ids (id, many); no pair among them can share those."""
-    wanted = docs.join(ids, docs["doc_id"] == ids["id"]).select("doc_id", "text", "many").mapInArrow(_elements(n), "id long, part long, h long")
-    alone = wanted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("part").alias("part")).filter("n = 1")
-    return alone.groupBy("id", "part").agg(F.count(F.lit(1)).alias("lone"))
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets reach the similarity. Signatures decide first which sets are fetched."""
-    sides = sketches.select("doc_id", "n_shingles", "sig")
-    left, right = (sides.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    likely = pairs.join(left, "a").join(right, "b")
-    likely = likely.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def _links_of_centres(state: DataFrame, texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between each bucket's most central member and the others. Signatures decide which pairs are compared on full sets."""
+    centres = state.groupBy("key").agg(F.max(F.struct("score", "digest")).alias("c")).select("key", F.col("c.digest").alias("b"))
+    pairs = state.join(centres, "key").filter("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")), x)
+    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    likely = saved(likely.filter(agree >= int((percent / 100 - SLACK) * HASHES)).select("a", "b").distinct(), "likely")
-    ids = likely.select(F.col("a").alias("id")).distinct().unionByName(likely.select(F.col("b").alias("id")).distinct()).distinct()
-    wanted = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    sets = saved(wanted.mapInArrow(_sets(n), "id long, s array<long>"), "sets")
-    full = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    likely = saved(pairs.filter(agree >= int((percent / 100 - SLACK) * HASHES)).select("a", "b", "rep_a", "rep_b"), "likely")
+    full = likely.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return full.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    links = saved(full.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")), "links")
+    discard(likely)
+    return links
+
+
+def _open(state: DataFrame) -> DataFrame:
+    """Rows of buckets with several components."""
+    return state.join(state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi")
+
+
+def _links_of_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members (key, digest, rep, comp, n) of different components in the same bucket."""
+    # two hashes stand for the digest, as minima of longs are quick
+    pair = F.xxhash64("digest").alias("x"), F.xxhash64("digest", F.lit(1)).alias("y")
+    lone = rest.select("digest").distinct().join(sets, "digest").select(*pair, F.explode("s").alias("h"))
+    lone = lone.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x"), F.min("y").alias("y")).filter("k = 1").groupBy("x", "y").agg(F.count(F.lit(1)).alias("lone"))
+    # A pair of n and m shingles must share percent / (100 + percent) of n + m: more than either holds that any other open text has can't be.
+    fewest = rest.groupBy("key").agg(F.min("n").alias("fewest"))
+    reach = rest.join(fewest, "key").select("*", *pair).join(lone, ["x", "y"], "left").withColumn("reach", F.col("n") - F.coalesce("lone", F.lit(0)))
+    able = reach.filter(100 * percent * F.col("n") + percent * F.greatest(100 * F.col("fewest"), percent * F.col("n")) <= 100 * (100 + percent) * F.col("reach"))
+    able = saved(_open(able.select("key", "digest", "rep", "comp", "n")), "open")
+    largest = able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.ceil(F.sum("size") / TILE).alias("chunks"))
+    able = able.join(largest, "key")
+    columns = ["key", "digest", "rep", "comp"]
+    members = able.select(*columns, F.pmod(F.xxhash64("digest"), F.col("chunks")).alias("chunk"), F.lit(0).alias("kind"))
+    asking = able.filter(F.col("comp") != F.col("most.comp")).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"))
+    tiles = members.unionByName(asking).join(sets, "digest").select("key", "chunk", "kind", "rep", "comp", "s")
+    return saved(in_python(tiles.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind"), _compare(percent), "u long, v long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Each row's doc_id, n_shingles, component_id and kept (it is its component's smallest doc_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, digest binary, part long, sig array<int>, bands array<long>"
-    sketches = saved(docs.mapInArrow(_sketches(n), schema), "sketches")
+    sketches = saved(in_python(docs, _sketches(n), "doc_id long, n_shingles long, digest binary, sig array<tinyint>, bands array<long>"), "sketches")
     known = sketches.filter("doc_id is not null and digest is not null")
-    # part tells the texts of a doc_id apart, and is 0 where it has one only.
-    several = saved(known.groupBy("doc_id").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("doc_id", F.lit(True).alias("many")), "several")
-    known = known.join(several, "doc_id", "left").withColumn("part", F.when(F.col("many"), F.col("part")).otherwise(F.lit(0).cast("long"))).withColumn("many", F.coalesce("many", F.lit(False)))
-    classes = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last"), "classes")
-    classed = known.select("doc_id", "digest").join(classes, "digest")
-    links = classed.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    others = classed.filter("doc_id <> rep").select("doc_id", "digest")
-    reps = known.join(others, ["doc_id", "digest"], "left_anti")
-
-    members = reps.select("doc_id", "part", "many", F.explode("bands").alias("key")).distinct()
-    shared = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
-    members = members.join(shared, "key")
-    score = members.groupBy("doc_id", "part").agg(F.sum("m").alias("score"))
+    # A class of texts with equal sets goes by the smallest doc_id that has one of them.
+    classes = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("shared"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+
+    members = classes.select("digest", "rep", "n", F.explode("bands").alias("key"))
+    buckets = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    members = saved(members.join(bounded(buckets, 40 * buckets.count()), "key"), "members")
+    score = members.groupBy("digest").agg(F.sum("m").alias("score"))
     # Buckets with the same members say the same: one of them is enough, told by an order-free digest.
-    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "part").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("doc_id", "part", F.lit(1))).alias("x"))
+    same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("x"))
     chosen = same.groupBy("n", "h", "x").agg(F.min("key").alias("key")).select("key")
-    state = saved(members.join(chosen, "key").join(score, ["doc_id", "part"]).select("key", "doc_id", "part", "many", "score"), "members")
-    # A pair of n and m shingles must share percent / (100 + percent) of n + m: more than either holds that any other member has can't be.
-    lone = saved(_reach(docs, state.select(F.col("doc_id").alias("id"), "many").distinct(), n), "lone")
-    sized = reps.select("doc_id", "part", F.col("n_shingles").alias("n")).distinct().join(lone.withColumnRenamed("id", "doc_id"), ["doc_id", "part"], "left")
-    state = state.join(sized.select("doc_id", "part", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("reach")), ["doc_id", "part"])
-    fewest = state.groupBy("key").agg(F.min("n").alias("fewest"))
-    state = state.join(fewest, "key").filter(100 * percent * F.col("n") + percent * F.greatest(100 * F.col("fewest"), percent * F.col("n")) <= 100 * (100 + percent) * F.col("reach"))
-    state = saved(state.select("key", "doc_id", "part", "score", "n", "reach", F.col("doc_id").alias("comp")), "members")
-    centres, found = 1, saved(links, "links")
-    possible = percent * (F.col("n") + F.col("c_n")) <= (100 + percent) * F.least("reach", "c_reach", "n", "c_n")
-    # members of a bucket's small components first: once they have met all others, the bucket is settled
-    best_first = Window.partitionBy("key").orderBy("held", F.desc("score"), "doc_id", "part")
-    while True:
-        open_ = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        waiting = saved(state.join(open_, "key"), "open")
-        if waiting.isEmpty():
-            break
-        held = waiting.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"))
-        chosen = saved(waiting.join(held, ["key", "comp"]).withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= centres).select("key", *(F.col(x).alias(y) for x, y in (("doc_id", "c"), ("part", "c_part"), ("comp", "c_comp"), ("n", "c_n"), ("reach", "c_reach")))), "centres")
-        pairs = waiting.join(chosen, "key").filter((F.col("comp") != F.col("c_comp")) & possible).select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
-        new = saved(_verified(pairs, sketches.filter("digest is not null"), docs, n, percent), "links")
-        found = found.unionByName(new)
-        tried = chosen.select("key", F.col("c").alias("doc_id"), F.col("c_part").alias("part"), F.lit(True).alias("tried"))
-        waiting = waiting.join(tried, ["key", "doc_id", "part"], "left").filter("tried is null").drop("tried")
-        joined = connected_components(waiting.select(F.col("doc_id").alias("u"), F.col("comp").alias("v")).unionByName(new).unionByName(chosen.select(F.col("c").alias("u"), F.col("c_comp").alias("v"))))
-        state = saved(waiting.drop("comp").join(joined.select(F.col("id").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").select("key", "doc_id", "part", "score", "n", "reach", F.coalesce("comp", "doc_id").alias("comp")), "members")
-        centres *= 2
-    components = saved(connected_components(found), "components")
-    out = sketches.select("doc_id", "n_shingles").join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    own = F.coalesce("component", "doc_id")
+    state = saved(members.join(chosen, "key", "left_semi").join(score, "digest").select("key", "digest", "rep", "n", "score"), "members")
+    texts = saved(classes.join(state.select("digest").distinct(), "digest", "left_semi").select("digest", "rep", "n", "sig"), "texts")
+    wanted = bounded(texts.select("rep").distinct(), 32 * texts.count())
+    sets = saved(in_python(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), _sets(n), "digest binary, s array<long>").dropDuplicates(["digest"]), "sets")
+
+    links = _links_of_centres(state, texts, sets, percent)
+    found = saved(connected_components(links), "components")
+    comp = found.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    rest = saved(_open(state.join(comp, "rep", "left").select("key", "digest", "rep", "n", F.coalesce("comp", "rep").alias("comp"))), "rest")
+    more = _links_of_rest(rest, sets, percent)
+    # The texts of a doc_id with several belong together.
+    text = F.xxhash64("digest")
+    several = saved(sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo <> hi").select("doc_id"), "several")
+    together = known.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
+    more = saved(more.unionByName(together), "links")
+    if not more.isEmpty():
+        found = saved(connected_components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+    named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").filter("shared or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
+    named = saved(named, "named")
+    by_id = saved(several.join(found, several["doc_id"] == found["id"]).select("doc_id", F.col("component").alias("by_id")), "named")
+    for x in (classes, buckets, members, state, texts, sets, links, rest, more, found, several):
+        discard(x)
+    out = sketches.select("doc_id", "n_shingles", "digest").join(bounded(named, 100 * named.count()), "digest", "left").join(bounded(by_id, 32 * by_id.count()), "doc_id", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("by_id", "component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    dropped = near_duplicates(docs, n, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    dropped = saved(near_duplicates(docs, n, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(bounded(dropped, 32 * dropped.count()), docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
