@@ -9,19 +9,34 @@ import numpy as np
 _U = np.uint64
 #: A place is kept for every SAMPLE-th one and zero of the high bits.
 SAMPLE = 16
+#: Numbers looked up at once: what a step works on should stay in the cache.
+STEP = 1 << 15
 _ALL = _U(0xFFFFFFFFFFFFFFFF)
 
 
+def _select_table() -> np.ndarray:
+    """The place of the k-th set bit of a byte, at 8 * byte + k."""
+    out = np.zeros(2048, dtype=np.uint8)
+    for byte in range(256):
+        for k, place in enumerate(i for i in range(8) if byte >> i & 1):
+            out[8 * byte + k] = place
+    return out
+
+
+_IN_BYTE = _select_table()
+_ONES, _HIGHS = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The place of the k-th (from 0) set bit of each word, which has that many."""
-    place = np.zeros(len(word), dtype=_U)
-    k = k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word >> place & _U((1 << width) - 1)).astype(np.int64)
-        beyond = k >= low
-        k -= np.where(beyond, low, 0)
-        place += np.where(beyond, _U(width), _U(0))
-    return place.astype(np.int64)
+    counts = word - (word >> _U(1) & _U(0x5555555555555555))
+    counts = (counts & _U(0x3333333333333333)) + (counts >> _U(2) & _U(0x3333333333333333))
+    counts = ((counts + (counts >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # bits up to each byte, it included
+    k = k.astype(_U)
+    # bytes whose count is not over k come before the one that holds the bit
+    before = np.bitwise_count((k * _ONES | _HIGHS) - counts & _HIGHS).astype(_U) << _U(3)
+    rest = k - ((counts << _U(8)) >> before & _U(255))
+    return (before + _IN_BYTE[(word >> before & _U(255)) * _U(8) + rest]).astype(np.int64)
 
 
 class EliasFano:
@@ -57,19 +72,34 @@ class EliasFano:
         """The place of the k-th (from 0) one or zero of the high bits."""
         flip = _U(0) if ones else _ALL
         at = (self.ones if ones else self.zeros)[k // SAMPLE].astype(np.int64)
-        left = (k % SAMPLE).astype(np.int64)
+        left = k % SAMPLE
         word = at >> 6
         bits = (self.high[word] ^ flip) & (_ALL << (at & 63).astype(_U))
-        have = np.bitwise_count(bits).astype(np.int64)
+        have = np.bitwise_count(bits)
         short = np.flatnonzero(have <= left)
         while len(short):
-            left[short] -= have[short]
-            word[short] += 1
-            bits[short] = self.high[word[short]] ^ flip
-            have[short] = np.bitwise_count(bits[short])
-            short = short[have[short] <= left[short]]
+            rest = left[short] - have[short]
+            here = word[short] + 1
+            more = self.high[here] ^ flip
+            held = np.bitwise_count(more)
+            left[short], word[short], bits[short] = rest, here, more
+            have[short] = held
+            short = short[held <= rest]
         return (word << 6) + _select_in_word(bits, left)
 
+    def _next(self, place: np.ndarray, ones: bool) -> np.ndarray:
+        """The place of the first one or zero of the high bits after each place; there is one."""
+        flip = _U(0) if ones else _ALL
+        place = place + 1
+        word = place >> 6
+        bits = (self.high[word] ^ flip) & (_ALL << (place & 63).astype(_U))
+        empty = np.flatnonzero(bits == 0)
+        while len(empty):
+            word[empty] += 1
+            bits[empty] = self.high[word[empty]] ^ flip
+            empty = empty[bits[empty] == 0]
+        return (word << 6) + np.bitwise_count((bits & (~bits + _U(1))) - _U(1))
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         whole = self.low_bits // 8
         out = np.zeros(len(i), dtype=_U)
@@ -85,31 +115,49 @@ class EliasFano:
         """The i-th values."""
         return (self._select(i, True) - i).astype(_U) << _U(self.low_bits) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th values and those behind them, which exist."""
+        place = self._select(i, True)
+        after = self._next(place, True)
+        low = _U(self.low_bits)
+        return (place - i).astype(_U) << low | self._low(i), (after - i - 1).astype(_U) << low | self._low(i + 1)
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of each x (of its successor, if that is equal), or -1."""
+        """The index of each x (of its successor, if that is equal), or -1. Fastest where x is in order."""
         out = np.full(len(x), -1, dtype=np.int64)
         if not self.n or not len(x):
             return out
-        top = int(self.access(np.array([self.n - 1]))[0])
-        inside = np.flatnonzero(x <= _U(top))
-        x = x[inside]
+        top = self.access(np.array([self.n - 1]))[0]
+        for i in range(0, len(x), STEP):
+            inside = np.flatnonzero(x[i : i + STEP] <= top)
+            out[i + inside] = self._find(x[i + inside])
+        return out
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
         high = (x >> _U(self.low_bits)).astype(np.int64)
-        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)
-        first = begin - high
+        zero = self._select(np.maximum(high - 1, 0), False)
+        zero[high == 0] = -1
         # the bucket's ones are those up to the next zero
-        end = self._select(high, False) - high
+        a, end = zero + 1 - high, self._next(zero, False) - high
         low = x & _U((1 << self.low_bits) - 1)
-        a, b = first.copy(), end.copy()
+        b = end.copy()
         todo = np.flatnonzero(a < b)
         while len(todo):
-            mid = (a[todo] + b[todo]) >> 1
-            less = self._low(mid) < low[todo]
-            a[todo] = np.where(less, mid + 1, a[todo])
-            b[todo] = np.where(less, b[todo], mid)
-            todo = todo[a[todo] < b[todo]]
+            left, right, wanted = a[todo], b[todo], low[todo]
+            while len(todo):
+                mid = (left + right) >> 1
+                less = self._low(mid) < wanted
+                left, right = np.where(less, mid + 1, left), np.where(less, right, mid)
+                more = left < right
+                if more.all():
+                    continue
+                done = ~more
+                a[todo[done]] = left[done]
+                todo, left, right, wanted = todo[more], left[more], right[more], wanted[more]
         hit = np.flatnonzero(a < end)
         hit = hit[self._low(a[hit]) == low[hit]]
-        out[inside[hit]] = a[hit]
+        out = np.full(len(x), -1, dtype=np.int64)
+        out[hit] = a[hit]
         return out
 
 

@@ -25,22 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import crc_mod, fresh_path, local_file, saved, table, write_file
-from treeline.llm.eliasfano import EliasFano, bundle, load, under, within
+from treeline.llm.common import crc_mod, fresh_path, in_python, local_file, saved, table, write_file
+from treeline.llm.eliasfano import STEP, EliasFano, bundle, load, under, within
 from treeline.llm.tokens import buffers, word_hashes
 
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 #: Weight of the lower order against counts, for bigrams and trigrams.
 PRIOR2, PRIOR3 = 1000.0, 60.0
-#: Tokens whose n-grams a shard holds, about; entries of a part of the vocabulary; bytes of text counted at once, and scored at once (what a step works on should stay in the cache).
-SHARD_TOKENS, PART_WORDS, BLOCK, SCORED = 6_000_000, 2_000_000, 6 << 20, 1 << 19
+#: Tokens whose n-grams a shard holds, about; entries of a part of the vocabulary; bytes of text counted at once, and scored at once.
+SHARD_TOKENS, PART_WORDS, BLOCK, SCORED = 2_000_000, 2_000_000, 6 << 20, 4 << 20
 #: Quantised: 65535 steps of this many decades from 0 down.
-STEP = 16 / 65535
+STEP_SIZE = 16 / 65535
 
 
 def _quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(log10 / -STEP), 0, 65535).astype(np.uint16)
+    return np.clip(np.rint(log10 / -STEP_SIZE), 0, 65535).astype(np.uint16)
 
 
 def _slices(batch: pa.RecordBatch, size: int = BLOCK):
@@ -281,17 +281,27 @@ class Level:
     def __init__(self, arrays: dict, name: str):
         self.bases, self.children = within(arrays, f"{name}.bases"), within(arrays, f"{name}.children")
 
-    def find(self, parent: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """The node of each child under its parent, or -1."""
-        out = np.full(len(parent), -1, dtype=np.int64)
-        known = np.flatnonzero((parent >= 0) & (parent < self.bases.n - 1) & (child >= 0))
-        base, end = self.bases.access(parent[known]), self.bases.access(parent[known] + 1)
-        target = base + child[known].astype(_U)
-        inside = np.flatnonzero(target < end)
-        out[known[inside]] = self.children.find(target[inside])
+    def find(self, parents: np.ndarray, which: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """The node of each child under parents[which], or -1; parents in order, and children about in that of theirs."""
+        base, end = np.zeros(len(parents), dtype=_U), np.zeros(len(parents), dtype=_U)
+        known = np.flatnonzero((parents >= 0) & (parents < self.bases.n - 1))
+        for i in range(0, len(known), STEP):
+            some = known[i : i + STEP]
+            base[some], end[some] = self.bases.access_two(parents[some])
+        target = base[which] + child.astype(_U)
+        inside = np.flatnonzero((child >= 0) & (target < end[which]))
+        out = np.full(len(which), -1, dtype=np.int64)
+        out[inside] = self.children.find(target[inside])
         return out
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers begins, and the number of each place's run."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 class Model:
     def __init__(self, spec: dict):
         self.words = Vocabulary(spec["parts"])
@@ -304,25 +314,41 @@ class Model:
     def score(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its training count, and the log10 probabilities of the base and of the model."""
         n = self.words.n
-        w = self.words.ids(h)
-        c = self.words.count(w)
+        order = np.argsort(h)
+        first_of, which = _runs(h[order])
+        ids = self.words.ids(h[order][first_of])
+        w, c = np.empty(len(h), dtype=np.int64), np.empty(len(h), dtype=np.int64)
+        w[order], c[order] = ids[which], self.words.count(ids)[which]
         base = np.log10((c + 1) / (self.n_tokens + n + 1))
         v, u = _contexts(w, first, n)
+        rank = np.empty(len(h), dtype=np.int64)  # of the token among the block's, in the order of ids
+        rank[order] = which
+        key = _contexts(rank, first, len(first_of))[0] * (len(first_of) + 1) + rank
         score = base.copy()
         after = np.zeros(len(w))  # back-off weight of the two-word context that a token ends
         found2 = np.zeros(len(w), dtype=bool)
         found3 = np.zeros(len(w), dtype=bool)
-        shard = np.searchsorted(self.cuts, v, "right") - 1
+        # Lookups go through each level in its order, once for each distinct context.
+        order = np.flatnonzero((v >= 0) & (w >= 0))
+        order = order[np.argsort(key[order])]
+        bounds = np.searchsorted(v[order], np.append(self.cuts, n + 1))
         for s, (two, three, p2, b2, p3) in self.shards.items():
-            rows = np.flatnonzero((shard == s) & (v >= 0))
-            node = two.find(v[rows] - self.cuts[s], w[rows])
-            rows, node = rows[node >= 0], node[node >= 0]
-            score[rows] = p2[node] * -STEP
-            after[rows] = b2[node] * -STEP
+            rows = order[bounds[s] : bounds[s + 1]]
+            if not len(rows):
+                continue
+            begin, pair = _runs(key[rows])
+            contexts = v[rows[begin]] - self.cuts[s]
+            some, which = _runs(contexts)
+            node = two.find(contexts[some], which, w[rows[begin]])
+            known = node[pair] >= 0
+            rows, node = rows[known], node[pair[known]]
+            score[rows] = p2[node] * -STEP_SIZE
+            after[rows] = b2[node] * -STEP_SIZE
             found2[rows] = True
-            node = three.find(node, u[rows])
+            begin, which = _runs(node)
+            node = three.find(node[begin], which, u[rows])
             rows, node = rows[node >= 0], node[node >= 0]
-            score[rows] = p3[node] * -STEP
+            score[rows] = p3[node] * -STEP_SIZE
             found3[rows] = True
         cv = np.where(v == n, self.n_docs, self.words.count(np.where(v == n, -1, v)))
         score += np.where(found2, 0.0, np.log10(PRIOR2 / (cv + PRIOR2)))
@@ -360,18 +386,18 @@ def train(docs: DataFrame) -> dict:
     spark = docs.sparkSession
     folder = fresh_path(spark, "trie")
     texts = docs.select("text")
-    words = saved(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
+    words = saved(in_python(texts, _count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     total = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum(F.when(F.col("h") == int(END.astype(np.int64)), F.col("c"))), F.lit(0)).alias("d")).first()
     bits = max(1, math.ceil(math.log2(max(total["n"], 1) / PART_WORDS)) if total["n"] > PART_WORDS else 1)
     parts = words.withColumn("part", F.shiftrightunsigned("h", 64 - bits)).repartition(1 << bits, "part")
-    rows = parts.mapInArrow(_write_words(folder), "part long, n long, first long, total long, path string").collect()
+    rows = in_python(parts, _write_words(folder), "part long, n long, first long, total long, path string").collect()
     rows = sorted(rows, key=lambda r: r["part"])
     spec = {"folder": folder, "parts": [(r["n"], r["first"] % 2**64, r["path"]) for r in rows], "tokens": total["c"], "docs": total["d"], "shards": [], "cuts": np.zeros(1, np.int64)}
     if not total["n"]:
         return spec
     spec["cuts"] = cuts = _cuts(spec["parts"], words, rows, total)
-    counted = texts.mapInArrow(_count_trigrams(spec["parts"], cuts), "shard int, block binary").repartition(len(cuts), "shard").sortWithinPartitions("shard")
-    spec["shards"] = [(r["shard"], r["path"]) for r in counted.mapInArrow(_write_shards(spec["parts"], cuts, total["c"], total["d"], folder), "shard int, path string").collect()]
+    counted = in_python(texts, _count_trigrams(spec["parts"], cuts), "shard int, block binary").repartition(len(cuts), "shard").sortWithinPartitions("shard")
+    spec["shards"] = [(r["shard"], r["path"]) for r in in_python(counted, _write_shards(spec["parts"], cuts, total["c"], total["d"], folder), "shard int, path string").collect()]
     return spec
 
 
@@ -393,7 +419,7 @@ def _cuts(parts: list[tuple], words: DataFrame, rows: list, total) -> np.ndarray
 
 def score_documents(docs: DataFrame, spec: dict) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_score(spec), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_python(docs.select("doc_id", "text"), _score(spec), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
