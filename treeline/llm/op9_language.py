@@ -6,8 +6,9 @@ the words, with a penalty for each switch, marks the spans. The document's langu
 score that language's share.
 
 Scale: the model is fitted on a bounded sample (`per_language` documents of each language, expected; by a hash of the
-id), its size is languages * orders * buckets whatever the corpus; prediction is a narrow map, batched over documents so
-that each step of the path is a numpy operation over all documents of the batch.
+id), its size is languages * orders * buckets whatever the corpus; prediction is a narrow map. Paths are found for
+segments of all documents of a batch together, with the state carried from segment to segment, so that one long document
+takes no more time than many short ones.
 
 Defined cases: null text, or one without a letter, is `und` with score 0, and so is all text where nothing could be
 learned; words of a script that no language uses, or without letters, leave the path as it is; equal scores go to the
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.common import crc_mod, table
+from treeline.llm.common import crc_mod, in_python, table
 from treeline.llm.tokens import _WHITE, buffers
 
 PER_LANGUAGE = 3000
@@ -34,8 +35,8 @@ SMOOTHING = 0.5
 PENALTY = 8.0
 #: A language uses a script that has this share of its training words.
 SCRIPT_SHARE = 0.002
-#: Bytes of text whose paths are found together, and words scored at once.
-BLOCK, WORDS = 1 << 23, 1 << 16
+#: Bytes of text whose paths are found together, words scored at once, and words in a segment of a path.
+BLOCK, WORDS, SEGMENT = 1 << 21, 1 << 16, 128
 
 #: First bytes of UTF-8 sequences by script: Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic, Indic and South-East Asian, kana and CJK, Hangul, other.
 _RANGES = ((1, 0x41, 0x5A), (1, 0x61, 0x7A), (1, 0xC3, 0xCA), (2, 0xCD, 0xCF), (3, 0xD0, 0xD3), (4, 0xD4, 0xD7), (5, 0xD8, 0xDF), (6, 0xE0, 0xE1), (7, 0xE3, 0xE9), (8, 0xEA, 0xED), (9, 0xEE, 0xF4))
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
     schema = "lang string, grams binary, scripts binary"
     sample = sample.repartition(FIT_TASKS)  # its size is bounded
-    rows = sample.mapInArrow(_count(languages), schema).groupBy("lang").applyInArrow(_sum, schema).collect()
+    rows = in_python(sample, _count(languages), schema).groupBy("lang").applyInArrow(_sum, schema).collect()
     rows = sorted((r for r in rows), key=lambda r: r["lang"])
     grams = np.stack([np.frombuffer(r["grams"], dtype=np.int64).reshape(len(ORDERS), BUCKETS) for r in rows]) if rows else np.zeros((0, len(ORDERS), BUCKETS))
     scripts = np.stack([np.frombuffer(r["scripts"], dtype=np.int64) for r in rows]) if rows else np.zeros((0, SCRIPTS))
@@ -177,43 +178,69 @@ def word_scores(model: dict, data: np.ndarray, s: np.ndarray, e: np.ndarray) ->
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The label of each word: the best path of each row's words, all rows step by step together."""
+    """The label of each word: the best path of each row's words.
+
+    Rows are cut into segments, all of which go step by step together, however long a row is: what a segment does to any
+    state before it is found first, the states are carried from segment to segment, and then paths are traced forward
+    and, for each label at a segment's end, back.
+    """
     total, n = scores.shape
-    labels = np.zeros(total, dtype=np.int16)
-    sizes = np.diff(first)
-    order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    if not len(order):
-        return labels
-    start, sizes = first[:-1][order], sizes[order]
-    steps = int(sizes[0])
-    active = np.searchsorted(-sizes, -np.arange(steps), "left")  # rows with more than t words
-    v = scores[start].astype(np.float64)
-    switched = np.zeros((total, n), dtype=bool)
-    origin = np.zeros(total, dtype=np.int16)
+    rows = np.flatnonzero(np.diff(first))
+    if not len(rows):
+        return np.zeros(total, dtype=np.int16)
+    sizes = np.diff(first)[rows]
+    count = -(-sizes // SEGMENT)
+    begin = np.cumsum(count) - count  # a row's first segment
+    which = np.repeat(np.arange(len(rows)), count)
+    place = np.arange(len(which)) - begin[which]
+    start = first[:-1][rows][which] + place * SEGMENT
+    length = np.minimum(SEGMENT, sizes[which] - place * SEGMENT)
+
+    state = np.zeros((len(which), n))  # before each segment
+    inner = np.flatnonzero(place < count[which] - 1)  # whole segments with one behind them
+    if len(inner):
+        best = np.where(np.eye(n, dtype=bool), 0.0, -penalty) + scores[start[inner]][:, None, :]
+        for t in range(1, SEGMENT):
+            np.maximum(best, best.max(axis=2, keepdims=True) - penalty, out=best)
+            best += scores[start[inner] + t][:, None, :]
+        at = np.cumsum(place < count[which] - 1) - 1
+        for k in range(1, int(count.max())):
+            now = begin[count > k] + k
+            state[now] = (state[now - 1][:, :, None] + best[at[now - 1]]).max(axis=1)
+            state[now] -= state[now].max(axis=1, keepdims=True)
+
+    order = np.argsort(-length, kind="stable")
+    start, length, v = start[order], length[order], state[order]
+    steps = int(length[0])
+    active = np.searchsorted(-length, -np.arange(steps), "left")  # segments with more than t words
+    switched, origin = np.zeros((total, n), dtype=bool), np.zeros(total, dtype=np.int16)
     last = np.zeros(len(order), dtype=np.int16)
-    for t in range(1, steps):
+    for t in range(steps):
         k = active[t]
-        if k < len(v):
-            last[k : len(v)] = v[k:].argmax(axis=1)
-            v = v[:k]
+        last[k : len(v)] = v[k:].argmax(axis=1)
+        v = v[:k]
         best = v.argmax(axis=1)
         top = v[np.arange(k), best] - penalty
         at = start[:k] + t
         lower = v < top[:, None]
-        switched[at] = lower
-        origin[at] = best
+        switched[at], origin[at] = lower, best
         v = np.where(lower, top[:, None], v) + scores[at]
     last[: len(v)] = v.argmax(axis=1)
-    now = np.zeros(0, dtype=np.int16)
+
+    every = np.zeros((total, n), dtype=np.int16)  # the label of each word for each label at its segment's end
+    now = np.zeros((0, n), dtype=np.int16)
     for t in range(steps - 1, -1, -1):
         k = active[t]
-        now = np.concatenate((now, last[len(now) : k]))
+        now = np.concatenate((now, np.tile(np.arange(n, dtype=np.int16), (k - len(now), 1))))
         at = start[:k] + t
-        labels[at] = now
-        moved = switched[at, now]
-        now = np.where(moved, origin[at], now).astype(np.int16)
-    return labels
+        every[at] = now
+        now = np.where(np.take_along_axis(switched[at], now.astype(np.int64), 1), origin[at][:, None], now)
+    before, end = np.empty_like(now), np.empty(len(order), dtype=np.int16)
+    before[order], end[order] = now, last
+    for k in range(int(count.max()) - 1, 0, -1):
+        now = begin[count > k] + k
+        end[now - 1] = before[now, end[now]]
+    return every[np.arange(total), np.repeat(end, np.minimum(SEGMENT, sizes[which] - place * SEGMENT))]
 
 
 def _slices(batch: pa.RecordBatch):
@@ -264,7 +291,7 @@ def _predict(model: dict, keep: list[str]):
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predict(model, ["doc_id"]), f"doc_id {kind}, lang_pred string, score double")
+    return in_python(docs.select("doc_id", "text"), _predict(model, ["doc_id"]), f"doc_id {kind}, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: dict) -> DataFrame:
@@ -284,7 +311,7 @@ def spans(docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<start:long,end:long,lang:string>>")
+    return in_python(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<start:long,end:long,lang:string>>")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -297,7 +324,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 names, score, _ = label_batch(model, batch.column("text"))
                 yield batch.filter(pa.array((score >= least) & (np.array(names) != "und")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_python(docs, run, docs.schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
