@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm.common import table
+from treeline.llm.common import in_python, table
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fragments a worker remembers; when full, it starts anew.
-MEMO = 600_000
+#: Bytes of fragments a task remembers, about; when full, it starts anew.
+MEMO = 48 << 20
 #: Bytes cut at once; a longer text is taken whole.
 BLOCK = 1 << 22
 
@@ -93,6 +93,7 @@ class ForcedBoundaryBPE:
         seen |= turn | late
         self.cut = seen.ravel() & ~joined
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _fragments(self, data: np.ndarray, raw: bytes, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """Fragments of adjacent texts that begin at starts, and the index of each text's first one."""
@@ -104,14 +105,18 @@ class ForcedBoundaryBPE:
         ends = np.append(bounds[1:], len(data)).tolist()
         return [raw[a:b] for a, b in zip(bounds.tolist(), ends)], np.searchsorted(bounds, starts)
 
+    def forget(self) -> None:
+        self.memo, self.held = {}, 0
+
     def _learn(self, fragments: set[bytes]) -> None:
         missing = [x for x in fragments if x not in self.memo]
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
+        if self.held > MEMO:
+            self.forget()
             missing = list(fragments)
         for x in missing:
             ids = self.fragment(x.decode())
             self.memo[x] = struct.pack(f"<{len(ids)}I", *ids)
+            self.held += 200 + len(x) + 4 * len(ids)
 
     def _encode_block(self, raw: bytes, starts: np.ndarray) -> list[bytes]:
         fragments, first = self._fragments(np.frombuffer(raw, dtype=np.uint8), raw, starts)
@@ -177,19 +182,22 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: b
 
     def run(batches):
         bpe = encoder(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, STEP):
-                batch = whole.slice(i, STEP)
-                ids = bpe.encode([x or "" for x in batch.column("text").to_pylist()])
-                columns = [
-                    batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, STEP):
+                    batch = whole.slice(i, STEP)
+                    ids = bpe.encode([x or "" for x in batch.column("text").to_pylist()])
+                    columns = [
+                        batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]),
+                    ]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        finally:
+            bpe.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return in_python(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
