@@ -3,10 +3,11 @@
 Reading: files are planned into partitions by size, large ones split at the members that a side file of offsets names.
 Record types and header values are tested on the parsed headers; the payload of a record that is not wanted, because a
 pushed-down predicate fails or because the requested schema has no payload, is not inflated: each gzip member's extra
-field holds its compressed length ("sl"), so the reader steps over it. Members without the field are inflated through.
+field holds its compressed length ("sl"), so the reader steps over it. Other members, and those of several records, are
+inflated piece by piece, and what isn't wanted is dropped as it comes. Header names are read without case.
 
-Writing: each task writes one archive under a temporary name and the commit renames those of the tasks that succeeded, so
-a repeated or lost task leaves nothing behind.
+Writing: each task writes one archive under a temporary name and the commit renames those of the tasks that succeeded and
+removes what others have left. Files are named after the job: an append keeps what is there.
 
 Scale: digests are grouped with partial aggregation; only digests that occur twice are joined back to the pages, by
 broadcast if that table is small and else by a join that splits skewed keys. Payloads move once, from the page to the
@@ -41,6 +42,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: Columns of a record and the headers they come from.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "url": "WARC-Target-URI", "date": "WARC-Date", "digest": "WARC-Payload-Digest", "page_id": "X-Page-Id", "refers_to": "X-Refers-To-Page-Id", "payload_bytes": "X-Payload-Length"}
 SCHEMA = "record_type string, record_id string, url string, date string, digest string, page_id long, refers_to long, payload_bytes long, headers map<string,string>, payload binary"
+#: Names as records spell them.
+_SPELT = {x.lower(): x for x in (*HEADERS.values(), "Content-Length", "Content-Type", "WARC-Refers-To", "WARC-Profile")}
+#: Bytes inflated or looked through at once, and the most that a record's headers may take.
+STEP, MOST_HEADERS = 1 << 16, 1 << 24
 _HEAD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)")
 
 
@@ -78,18 +83,18 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes rows of page_id, url, html, digest and response_id."""
+    """Writes rows of page_id, url, html, digest and response_id. Files are named after the job, so an append keeps those of others; overwriting removes them once the new ones are there."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator) -> Written:
         from pyspark import TaskContext
 
         store, at = filesystem(self.path)
         store.create_dir(at, recursive=True)
-        final = f"{at}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        temporary = f"{at}/.{uuid.uuid4().hex}.tmp"
+        final = f"{at}/part-{self.job}-{TaskContext.get().partitionId():06d}.warc.gz"
+        temporary = f"{at}/.{self.job}-{uuid.uuid4().hex}.tmp"
         marks, place = [0], 0
         with store.open_output_stream(temporary) as out:
             for batch in iterator:
@@ -104,20 +109,32 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(temporary, final)
 
     def commit(self, messages) -> None:
-        store, _ = filesystem(self.path)
+        store, at = filesystem(self.path)
+        old = [f for f in _files(store, at) if re.search(r"\.warc(\.gz)?(\.idx)?$", f.path)] if self.overwrite else []
         for m in messages:
             if m is not None:
                 store.move(f"{m.temporary}.idx", f"{m.final}.idx")
                 store.move(m.temporary, m.final)
+        for f in old:
+            store.delete_file(f.path)
+        self._clean(store, at)
 
     def abort(self, messages) -> None:
-        store, _ = filesystem(self.path)
-        for m in messages:
-            for x in (m.temporary, f"{m.temporary}.idx") if m is not None else ():
-                try:
-                    store.delete_file(x)
-                except FileNotFoundError:
-                    pass
+        self._clean(*filesystem(self.path))
+
+    def _clean(self, store, at: str) -> None:
+        """Remove what failed or repeated tasks of this job have left."""
+        for f in _files(store, at):
+            if f.base_name.startswith(f".{self.job}-"):
+                store.delete_file(f.path)
+
+
+def _files(store, at: str) -> list:
+    from pyarrow import fs
+
+    found = store.get_file_info(at)
+    files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+    return [f for f in files if f.type == fs.FileType.File]
 
 
 @dataclass
@@ -141,7 +158,7 @@ class _Input:
 
     def skip(self, n: int) -> None:
         self.place += n
-        if n <= len(self.held):
+        if 0 <= n <= len(self.held):
             self.held = self.held[n:]
         else:
             self.held = b""
@@ -165,10 +182,8 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, at = filesystem(self.path)
-        found = store.get_file_info(at)
-        files = [found] if found.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
         out, now, size = [], [], 0
-        for f in sorted((f for f in files if f.type == fs.FileType.File and re.search(r"\.warc(\.gz)?$", f.path)), key=lambda f: f.path):
+        for f in sorted((f for f in _files(store, at) if re.search(r"\.warc(\.gz)?$", f.path)), key=lambda f: f.path):
             marks = [0]
             if f.size > PARTITION and store.get_file_info(f"{f.path}.idx").type == fs.FileType.File:
                 with store.open_input_stream(f"{f.path}.idx") as side:
@@ -214,76 +229,113 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+class _Bytes:
+    """Plain bytes of a source up to a place."""
+
+    def __init__(self, source: _Input, end: int):
+        self.source, self.end = source, end
+
+    def peek(self, n: int) -> bytes:
+        """At least n bytes, if there are so many."""
+        return self.source.peek(n)[: max(0, self.end - self.source.place)]
+
+    def skip(self, n: int) -> None:
+        self.source.skip(min(n, max(0, self.end - self.source.place)))
+
+
+class _Inflated:
+    """Bytes of the gzip member at a source's place, inflated as they are asked for; what is skipped isn't kept."""
+
+    def __init__(self, source: _Input):
+        self.source, self.inflate, self.held, self.rest = source, zlib.decompressobj(31), b"", b""
+
+    def _more(self) -> bool:
+        if self.inflate.eof:
+            return False
+        block = self.rest or self.source.peek(1)[:STEP]
+        if not block:
+            return False
+        if not self.rest:
+            self.source.skip(len(block))
+        self.held += self.inflate.decompress(block, STEP)
+        self.rest = self.inflate.unconsumed_tail
+        if self.inflate.eof:  # what follows the member goes back
+            self.source.skip(-len(self.inflate.unused_data))
+        return True
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        return self.held
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held = b""
+            if not self._more():
+                return
+        self.held = self.held[n:]
+
+
 def members(source: _Input, end: int, wanted, payloads: bool):
     """(headers, payload) of the wanted records up to a place; the payload is None unless it is asked for and the record holds one."""
     while source.place < end:
         head = source.peek(24)
-        if len(head) < 12:
+        if head[:2] != b"\x1f\x8b":
+            yield from _records(_Bytes(source, end), wanted, payloads)
             return
-        if head[:2] == b"\x1f\x8b":
-            yield from _gzip_member(source, wanted, payloads)
-        else:
-            yield from _plain_record(source, wanted, payloads)
-
-
-def _gzip_member(source: _Input, wanted, payloads: bool):
-    head = source.peek(24)
-    length = struct.unpack("<I", head[16:20])[0] if head[3] == 4 and head[12:14] == b"sl" else None
-    inflate = zlib.decompressobj(31)
-    raw, fed = b"", 0
-    if length is not None:  # the headers first: as much as they need
-        first = source.peek(min(length, 2048))[: min(length, 2048)]
-        raw = inflate.decompress(first, 4096)
-        if b"\r\n\r\n" in raw:
-            headers = _headers(raw[: raw.index(b"\r\n\r\n")])
-            if not wanted(headers) or not payloads:
-                source.skip(length)
-                if wanted(headers):
-                    yield headers, None
-                return
-        whole = source.peek(length)[:length]
-        raw = zlib.decompress(whole, 31)
-        source.skip(length)
-    else:
-        parts = []
-        while not inflate.eof:
-            block = source.peek(fed + 1)[fed:]
-            if not block:
-                break
-            parts.append(inflate.decompress(block))
-            fed += len(block)
-        source.skip(fed - len(inflate.unused_data))
-        raw = b"".join(parts)
-    cut = raw.index(b"\r\n\r\n")
-    headers = _headers(raw[:cut])
-    if wanted(headers):
-        yield headers, _payload(headers, raw[cut + 4 : cut + 4 + int(headers.get("Content-Length", 0))]) if payloads else None
-
-
-def _plain_record(source: _Input, wanted, payloads: bool):
-    n = 4096
-    while b"\r\n\r\n" not in (raw := source.peek(n)):
-        if len(raw) < n:
-            source.skip(len(raw))
+        length, raw_length = struct.unpack("<II", head[16:24]) if head[3] == 4 and head[12:14] == b"sl" else (0, 0)
+        if length:  # the headers first: as much as they need
+            first = source.peek(min(length, 2048))[: min(length, 2048)]
+            raw = zlib.decompressobj(31).decompress(first, 4096)
+            if (cut := raw.find(b"\r\n\r\n")) >= 0:
+                headers = _headers(raw[:cut])
+                if not (wanted(headers) and payloads) and _length(headers) + cut + 8 == raw_length:  # the member's only record
+                    source.skip(length)
+                    if wanted(headers):
+                        yield headers, None
+                    continue
+        inflated = _Inflated(source)
+        yield from _records(inflated, wanted, payloads)
+        while inflated.peek(1):
+            inflated.skip(STEP)
+
+
+def _records(raw, wanted, payloads: bool):
+    """All records of plain bytes; stops where no headers follow."""
+    while True:
+        while (head := raw.peek(2))[:1] in (b"\r", b"\n"):
+            raw.skip(1)
+        if not head:
             return
-        n *= 2
-    cut = raw.index(b"\r\n\r\n")
-    headers = _headers(raw[:cut])
-    length = int(headers.get("Content-Length", 0))
-    if wanted(headers):
-        yield headers, _payload(headers, source.peek(cut + 4 + length)[cut + 4 : cut + 4 + length]) if payloads else None
-    source.skip(cut + 4 + length + 4)
+        n = STEP
+        while (cut := (have := raw.peek(n)).find(b"\r\n\r\n")) < 0:
+            if len(have) < n or n > MOST_HEADERS:
+                return
+            n *= 2
+        headers = _headers(have[:cut])
+        raw.skip(cut + 4)
+        length = _length(headers)
+        if wanted(headers):
+            yield headers, _payload(headers, raw.peek(length)[:length]) if payloads else None
+        raw.skip(length)
+
+
+def _length(headers: dict) -> int:
+    found = headers.get("Content-Length", "0").strip()
+    return int(found) if found.isdigit() else 0
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    return {k.decode(): v.decode("utf-8", "replace") for k, v in _HEAD.findall(raw)}
+    """Headers by name; names are read without case, known ones are spelt as here."""
+    return {_SPELT.get(k.decode().lower(), k.decode()): v.decode("utf-8", "replace") for k, v in _HEAD.findall(raw)}
 
 
 def _payload(headers: dict, block: bytes) -> bytes | None:
     if headers.get("WARC-Type") == "revisit":
         return None
     if headers.get("Content-Type", "").startswith("application/http"):
-        return block[block.index(b"\r\n\r\n") + 4 :]
+        return block[block.find(b"\r\n\r\n") + 4 :] if b"\r\n\r\n" in block else b""
     return block
 
 
@@ -301,7 +353,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -324,9 +376,20 @@ def write_archives(pages: DataFrame, path: str) -> None:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    back = spark.read.format("warc").schema("page_id long, record_type string, refers_to long, payload_bytes long, digest string, payload binary").load(path)
-    held = F.col("payload").isNotNull()
-    return back.select(
-        "page_id", F.when(held, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(held, F.sha2("payload", 256)).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"), "record_type", "refers_to",
-    )
+    columns = "page_id long, record_type string, refers_to long, payload_bytes long, digest string"
+    read = lambda kind, more="": spark.read.format("warc").schema(columns + more).load(path).filter(F.col("record_type") == kind)
+    payload = F.col("payload")
+    response = read("response", ", payload binary").select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"), "record_type", "refers_to")
+    # a revisit is known by its headers alone: the predicate is pushed down, and no payload is inflated
+    revisit = read("revisit").select("page_id", "payload_bytes", F.substring_index("digest", ":", -1).alias("payload_digest"), "record_type", "refers_to")
+    return response.unionByName(revisit)
+
+
+#: DuckDB's form of the same result, from the pages themselves.
+ORACLE = """
+WITH p AS (SELECT page_id::BIGINT AS page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM r
+"""
