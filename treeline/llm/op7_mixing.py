@@ -25,15 +25,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import saved, table
+from treeline.llm.common import bounded, saved, table
 
 WEIGHTS = (3, 1, 2)
 #: Words taken in all, as a share of all words; and the most of any source, as a multiple of its words.
 SHARE, MOST = 1.5, 2
 BLOCK_DOCS, BLOCKS, SHARD_WORDS = 64, 1 << 28, 2_000_000
+#: Most output shards; a larger mix has larger ones. Shards between two entries of a source's first level.
+SHARDS, LEVEL = 1 << 16, 256
 SEED = 20240607
-#: Most bytes of the sources' records that are broadcast; beyond them they are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 
 
 def _with_sizes(docs: DataFrame) -> DataFrame:
@@ -67,23 +67,22 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
     at = np.zeros((shards + 1, len(quotas)), dtype=np.int64)
     at[shards] = quotas
 
-    def split(lo: int, hi: int) -> None:
+    nodes = [(0, shards)]
+    while nodes:
+        lo, hi = nodes.pop()
         if hi - lo < 2:
-            return
+            continue
         mid = (lo + hi) // 2
         here = at[hi] - at[lo]
         total = int(here.sum())
         left = total * (mid - lo) // (hi - lo)
         rng = np.random.default_rng([seed, lo, hi])
         at[mid] = at[lo] + (rng.multivariate_hypergeometric(here, left, method="marginals") if total else 0)
-        split(lo, mid)
-        split(mid, hi)
-
-    split(0, shards)
+        nodes += [(lo, mid), (mid, hi)]
     return at
 
 
-_PLAN = "_key string, _source_size long, _target double, _blocks long, _passes int, _cut_block long, _cut_hashes array<long>, _starts array<long>"
+_PLAN = "_key string, _source_size long, _target double, _blocks long, _passes int, _cut_block long, _cut_hashes array<long>, _quota long, _starts array<long>, _level array<long>"
 
 
 def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -97,7 +96,7 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     for r, t in zip(rows, wanted):
         passes = min(int(t // r["size"]), MOST) if r["size"] else 0
         known.append([r["_key"], r["size"], t, max(1, r["docs"] // per_block), passes, t - passes * r["size"]])
-    sources = _bounded(spark.createDataFrame(known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double"), sum(60 + len(k[0]) * 4 for k in known))
+    sources = bounded(spark.createDataFrame(known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double"), sum(60 + len(k[0]) * 4 for k in known))
     small = sized.select("_key", "_size", "_hash").join(sources, "_key").filter("_rest >= 0.5").withColumn("block", _block())
     blocks = saved(small.groupBy("_key", "block").agg(F.sum("_size").alias("words"), F.first("_rest").alias("rest")).withColumn("run", F.floor(F.col("block") / 1024)), "blocks")
     runs = blocks.groupBy("_key", "run").agg(F.sum("words").alias("run_words")).withColumn("before_run", F.sum("run_words").over(Window.partitionBy("_key").orderBy("run")) - F.col("run_words"))
@@ -116,15 +115,10 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         block = min(block, n)
         quotas.append(passes * n + min(block + 1, n))
         out.append([key, size, target, n, passes, block, cut])
-    shards = max(1, math.ceil(sum(wanted) / shard_words))
-    starts = split_quotas(quotas, shards)
-    out = [[*r, [int(x) for x in starts[:, i]]] for i, r in enumerate(out)]
-    return _bounded(spark.createDataFrame(out, _PLAN), sum(100 + len(r[0]) * 4 + 8 * (len(r[6]) + len(r[7])) for r in out))
-
-
-def _bounded(records: DataFrame, size: int) -> DataFrame:
-    """records, to be broadcast if they have few bytes: a hot source's rows then stay where they are."""
-    return F.broadcast(records) if size <= BROADCAST_BYTES else records
+    shards = min(max(1, math.ceil(sum(wanted) / shard_words)), SHARDS)
+    starts = split_quotas(quotas, shards)[:-1]
+    out = [[*r, quotas[i], starts[:, i].tolist(), starts[::LEVEL, i].tolist()] for i, r in enumerate(out)]
+    return bounded(spark.createDataFrame(out, _PLAN), sum(100 + len(r[0]) * 4 + 8 * (len(r[6]) + len(r[8]) + len(r[9])) for r in out))
 
 
 def _filled(rest: float, documents: list[tuple[int, int]]) -> list[int]:
@@ -146,14 +140,22 @@ def _block() -> Column:
 
 
 def with_copies(sized: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
-    """sized with its source's record and `_copies`: for each time the row is drawn its shard and a random place there."""
+    """sized with its source's record and `_copies`: for each instance of the row's block that a shard of the tree draws, that shard and a random place there."""
     d = sized.join(planned, "_key").withColumn("_block", _block())
-    last = (F.col("_block") < F.col("_cut_block")) | ((F.col("_block") == F.col("_cut_block")) & F.array_contains("_cut_hashes", F.col("_hash")))
-    d = d.withColumn("_times", F.when(F.col("_size") > 0, F.col("_passes") + last.cast("int")).otherwise(F.lit(0)))
-    copy = lambda t: F.struct(
-        (F.size(F.filter("_starts", lambda s: s <= t * F.col("_blocks") + F.col("_block"))) - 1).alias("shard"), F.xxhash64("_hash", t, F.lit(seed)).alias("place")
-    )
-    return d.withColumn("_copies", F.when(F.col("_times") > 0, F.transform(F.sequence(F.lit(0), F.col("_times") - 1), copy)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")))
+    before = lambda starts, x: F.size(F.filter(starts, lambda s: s <= x))
+
+    def shard(x: Column) -> Column:
+        """The last shard that begins at or before instance x: first among every LEVEL-th, then among those that follow."""
+        top = before(F.col("_level"), x) - 1
+        return top * LEVEL + before(F.slice("_starts", top * LEVEL + 1, LEVEL), x) - 1
+
+    # the block at the cut is drawn once less by those of its rows that aren't among the cut's
+    instance = lambda t: t * F.col("_blocks") + F.col("_block")
+    cut = (F.col("_block") == F.col("_cut_block")) & ~F.array_contains("_cut_hashes", F.col("_hash"))
+    drawn = lambda t: (instance(t) < F.col("_quota")) & ~(cut & (t == F.col("_passes")))
+    passes = F.filter(F.sequence(F.lit(0), F.col("_passes")), drawn)
+    copy = lambda t: F.struct(shard(instance(t)).cast("int").alias("shard"), F.xxhash64("_hash", t, F.lit(seed)).alias("place"))
+    return d.withColumn("_copies", F.when(F.col("_size") > 0, F.transform(passes, copy)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>")))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -170,4 +172,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(_with_sizes(table(spark, sf_dir, "documents")).select("doc_id", "source", "_key", "_size", "_hash"), "sizes")
     drawn = with_copies(sized, plan(sized))
-    return drawn.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_copies")).alias("taken"))
+    return drawn.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_copies")).alias("taken"),
+        F.transform("_copies", lambda x: x["shard"]).alias("shards"),
+    )
