@@ -27,10 +27,23 @@ START, END, TAIL = "<|im_start|>", "<|im_end|>", "\n"
 TURNS = "array<struct<role:string,text:string>>"
 
 
+#: No limit to the length of a string, which the reader of JSON otherwise has.
+JSON = {"maxStringLen": str(2**31 - 1)}
+
+
+def _parsed(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema, JSON)
+
+
+def _field(record: Column, name: str) -> Column:
+    """A field of a JSON object as text: a string's own, and the JSON of lists and objects."""
+    return _parsed(record, f"struct<`{name}`:string>")[name]
+
+
 def field_paths(record: Column) -> Column:
     """The sorted nested field paths of a JSON object: `a`, `a.b`, `a[].b`, and for an `a` or `a[]` with lists or objects in it also its schema without the types of leaves, as `a[]: OBJECT<b: ARRAY<OBJECT<c>>>`."""
-    top = F.coalesce(F.from_json(record, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    below = lambda prefix, value: F.transform(F.map_keys(F.coalesce(F.from_json(value, "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda k: F.concat(prefix, k))
+    top = F.coalesce(_parsed(record, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    below = lambda prefix, value: F.transform(F.map_keys(F.coalesce(_parsed(value, "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda k: F.concat(prefix, k))
 
     def fields_of(prefix: Column, sign: str, value: Column) -> Column:
         schema = F.regexp_replace(F.schema_of_variant(F.try_parse_json(value)), r": [A-Z]+(\([0-9, ]+\))?(?=[,>])", "")
@@ -38,7 +51,7 @@ def field_paths(record: Column) -> Column:
         return F.concat(below(F.concat(prefix, F.lit(sign)), value), F.coalesce(deep, F.array().cast("array<string>")))
 
     def inner(key: Column, value: Column) -> Column:
-        items = F.from_json(value, "array<string>")
+        items = _parsed(value, "array<string>")
         fields = F.array_distinct(F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.when(x.startswith("{"), fields_of(F.concat(key, F.lit("[]")), ".", x)).otherwise(F.array(F.concat(key, F.lit("[]")))))))
         return F.when(value.startswith("["), fields).when(value.startswith("{"), fields_of(key, ".", value)).otherwise(F.array(key))
 
@@ -60,18 +73,18 @@ class Layout:
     parts: bool = False
 
     def turns(self, record: Column) -> Column:
-        value = lambda f: F.get_json_object(record, f"$.{f}")
+        value = lambda f: _field(record, f)
         joined = lambda fs: F.coalesce(value(fs[0]), F.lit("")) if len(fs) == 1 else F.concat_ws("\n\n", *(F.nullif(value(f), F.lit("")) for f in fs))
         before = F.array(*(F.struct(F.lit(role).alias("role"), joined(fs).alias("text")) for role, *fs in self.fields)) if self.fields else F.array().cast(TURNS)
         if not self.items:
             return before
         field, role, text = self.items
-        items = F.from_json(value(field), f"array<struct<`{role}`:string,`{text}`:string>>")
+        items = _parsed(value(field), f"array<struct<`{role}`:string,`{text}`:string>>")
         names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
         renamed = lambda r: F.coalesce(names[r], r) if role != "role" else r
         said = lambda x, i: x[text]
         if self.parts:  # null where the text is a string, whatever stands in it
-            lists = F.from_json(value(field), f"array<struct<`{text}`:array<struct<type:string,text:string>>>>")
+            lists = _parsed(value(field), f"array<struct<`{text}`:array<struct<type:string,text:string>>>>")
             said = lambda x, i: F.coalesce(F.array_join(F.transform(F.get(lists, i)[text], lambda y: y["text"]), ""), x[text])
         listed = F.transform(items, lambda x, i: F.struct(F.coalesce(renamed(x[role]), F.lit("")).alias("role"), F.coalesce(said(x, i), F.lit("")).alias("text")))
         return F.concat(before, F.coalesce(listed, F.array().cast(TURNS)))
