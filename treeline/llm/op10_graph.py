@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import fresh_path, local_file, saved, table, write_file
+from treeline.llm.common import fresh_path, in_python, local_file, saved, table, write_file
 from treeline.llm.eliasfano import bundle, load
 
 SHARD, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA = 8192, 32, 64, 160, 1.2
 BATCH, EXPAND = 256, 4
+#: Tasks for each shard's queries.
+PARTS = 4
 #: Exact distances computed at once.
 PAIRS = 1 << 16
 
@@ -214,7 +216,7 @@ def build_index(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     shards = max(1, math.ceil(n / shard))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     folder = fresh_path(vectors.sparkSession, "graphs")
-    return saved(dealt.repartition(8 * shards, "dim", "shard").mapInArrow(_write_graphs(folder), "dim int, shard long, path string"), "graphs")
+    return saved(in_python(dealt.repartition(8 * shards, "dim", "shard"), _write_graphs(folder), "dim int, shard long, path string"), "graphs")
 
 
 _GRAPHS: dict[str, tuple] = {}
@@ -279,8 +281,9 @@ def _ask(k: int, beam: int):
 def nearest(queries: DataFrame, index: DataFrame, k: int = 10, beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, rank, vec_id and score (distance) of the k nearest found for each row of queries (query_id, embedding)."""
     q = queries.filter(usable(F.col("embedding"))).select(F.col("query_id").cast("long").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
-    asked = q.join(index, "dim").repartition("path", F.pmod(F.xxhash64("query_id"), F.lit(4))).sortWithinPartitions("path", "query_id")
-    found = asked.select("query_id", "embedding", "path").mapInArrow(_ask(k, beam), "query_id long, vec_id long, score double")
+    # a fixed number of tasks for each shard, which the adaptive plan can't merge into one
+    asked = q.join(index, "dim").repartition(PARTS * max(1, index.count()), "path", F.pmod(F.xxhash64("query_id"), F.lit(PARTS))).sortWithinPartitions("path", "query_id")
+    found = in_python(asked.select("query_id", "embedding", "path"), _ask(k, beam), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
