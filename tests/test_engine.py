@@ -5,14 +5,15 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.engine import Engine, Session
+from treeline.engine import Config, Engine, Session
 from treeline.functions import text as T
 from treeline.operators import changes
 from treeline.operators.forest import DIRECTORY, ROOT_RECORD, build_nodes
 from treeline.operators.reports import largest_dirs, problems, size_children
-from treeline.operators.search import ScopeNotFound, SearchArgs, lookup, search
-from treeline.sources import ntfs, snapshot, tables
-from treeline.streaming.journal import JOURNAL, watch
+from treeline.operators.search import ScopeNotFound, SearchArgs, drill_down, lookup, search, window
+from treeline.sources import image, ntfs, snapshot, tables
+from treeline.sources.listing import list_directory
+from treeline.streaming.journal import JOURNAL, Desynchronised, entries_of_nodes, fold_batch, watch, watch_batches
 
 SF = "/root/testdata/sf0.001"
 MB = 1 << 20
@@ -159,7 +160,7 @@ def test_stream_equals_rebuild(spark, tmp_path):
     q = watch(spark, f"{tmp_path}/journal", path, f"{tmp_path}/checkpoint", on_counters=lambda df: found.update({(r["op"], r["outcome"]): r["n"] for r in df.collect()}))
     q.awaitTermination(120)
     nodes, volumes, _ = snapshot.load(spark, path)
-    got = {r["path"]: r["size"] for r in nodes.collect()}
+    got = {r["path"]: r["size"] for r in nodes.filter("not is_deleted").collect()}
     assert got["C:\\Users\\Hacker\\new\\a.txt"] == 10 and "C:\\Users\\Hacker\\notes.txt" not in got and "C:\\lost" not in got
     assert got["C:\\Windows"] == 16 * MB and got["C:\\Windows\\Moved\\blob1.bin"] == 10 * MB and got["C:\\Users"] == 2 * MB + 10
     assert volumes.first()["next_usn"] == 7
@@ -228,3 +229,131 @@ def test_journal_batch(spark):
     d = spark.createDataFrame([(bytearray(batch),)], "batch binary").mapInArrow(ntfs.decode_batches, ntfs.USN_SCHEMA)
     r = changes.with_keys(d).first()
     assert (r["usn"], r["record"], r["sequence"], r["parent"], r["name"]) == (40, 7, 3, 5, "x.txt")
+
+
+EVENT = "volume int, record long, sequence int, parent long, usn long, reason long, attributes int, name string, size long, mtime long"
+VOLUME = "vol_ord int, drive string, next_usn long, journal_active boolean"
+
+
+def test_rename_goes_by_its_own_record(spark):
+    rows = [(0, 30, 1, 20, 1, changes.RENAME_NEW_NAME, 0, "renamed.bin", None, 1), (0, 30, 1, 5, 2, changes.DATA_EXTEND, 0, "stale.bin", 9, 1), (0, 31, 1, 5, 3, changes.FILE_CREATE, 0, "first", 1, 1), (0, 31, 1, 6, 4, changes.RENAME_NEW_NAME, 0, "second", 1, 1)]
+    got = {r["record"]: (r["name"], r["parent"], r["created"], r["renamed"], r["resized"]) for r in changes.coalesce(spark.createDataFrame(rows, EVENT)).collect()}
+    assert got == {30: ("renamed.bin", 20, False, True, True), 31: ("second", 6, True, False, False)}
+
+
+def test_exclusions_outlive_a_batch(spark, tmp_path):
+    entries = tree(spark, {"tmp\\a.bin": 1000, "tmp\\sub\\b.bin": 10, "keep.txt": 5})
+    record = {r["name"]: r["record_no"] for r in entries.collect()}
+    path = f"file://{tmp_path}/index"
+    Engine.build(entries, spark.createDataFrame([(0, "C", 0, True)], VOLUME), ["C:\\tmp"]).save(path)
+    rows = [
+        (0, record["a.bin"], 1, record["tmp"], 1, changes.DATA_EXTEND, 0, "a.bin", 3000, 7), (0, 900, 1, record["tmp"], 2, changes.FILE_CREATE, 0, "new.bin", 9, 7), (0, record["b.bin"], 1, record["sub"], 3, changes.FILE_DELETE, 0, "b.bin", None, 7),
+        (0, record["keep.txt"], 1, ROOT_RECORD, 4, changes.DATA_EXTEND, 0, "keep.txt", 6, 7), (0, 901, 1, 777, 5, changes.FILE_CREATE, 0, "lost", 9, 7),
+    ]
+    counted = fold_batch(spark, path, spark.createDataFrame(rows, EVENT))
+    assert {(r["op"], r["outcome"]): r["n"] for r in counted.collect()} == {("Resized", "Ignored"): 1, ("Created", "Ignored"): 1, ("Deleted", "Ignored"): 1, ("Resized", "Resized"): 1, ("Created", "Unknown"): 1}
+    assert changes.total(counted).first()["n"] == 1
+    nodes, volumes, manifest = snapshot.load(spark, path)
+    got = {r["path"]: (r["size"], r["is_excluded"], r["is_deleted"]) for r in nodes.collect()}
+    assert got["C:\\"] == (6, False, False) and got["C:\\tmp"] == (3000, True, False) and got["C:\\tmp\\sub\\b.bin"][2] and "C:\\tmp\\new.bin" not in got
+    assert manifest["excluded"] == ["C:\\tmp"] and volumes.first()["next_usn"] == 6
+    again = fold_batch(spark, path, spark.createDataFrame(rows, EVENT))
+    assert again.count() == 0
+
+
+def test_deltas_equal_a_rebuild(spark):
+    import random
+
+    rng = random.Random(5)
+    for excluded in ([], ["C:\\d1"]):
+        nodes = build_nodes(tree(spark, {f"d{i % 4}\\e{i % 3}\\f{i}": 10 * i + 1 for i in range(40)} | {"top": 3, "d1\\empty\\": 0}), excluded).cache()
+        live = [(r["record_no"], r["is_dir"], r["name"]) for r in nodes.filter("not is_root").collect()]
+        dirs = [ROOT_RECORD] + [r for r, is_dir, name in live if is_dir and name != "empty"]
+        rows, usn = [], 0
+        for record, is_dir, name in rng.sample([x for x in live if not x[1]], 25) + [x for x in live if x[2] == "empty"]:
+            for reason in rng.sample([changes.FILE_DELETE, changes.DATA_EXTEND, changes.RENAME_NEW_NAME] if not is_dir else [changes.FILE_DELETE], rng.randint(1, 2) if not is_dir else 1):
+                usn += 1
+                rows.append((0, record, rng.choice((1, 1, 1, 2)), rng.choice([*dirs, 9999]), usn, reason, 0x10 if is_dir else 0, f"n{usn}", rng.choice((None, usn * 7)), usn))
+        rows += [(0, 800, 1, ROOT_RECORD, 900, changes.FILE_CREATE, 0x10, "fresh", None, 1), (0, 801, 1, 800, 901, changes.FILE_CREATE, 0x10, "inner", None, 1), (0, 802, 1, 801, 902, changes.FILE_CREATE, 0, "leaf", 77, 1), (0, 803, 1, dirs[2], 903, changes.FILE_CREATE, 0, "x", 5, 1)]
+        journal = spark.createDataFrame(rows, EVENT)
+        entries = entries_of_nodes(nodes)
+        after, judged = changes.apply(entries, journal)
+        columns = ["node_id", "parent_id", "sequence", "name", "flags", "size", "alloc", "subtree_files", "path", "path_fold", "depth", "ancestors", "mtime_unix", "is_excluded", "is_deleted"]
+        live_rows = lambda df: sorted(map(repr, df.filter("not is_deleted").select(*columns).collect()))
+        by_delta = changes.apply_to_nodes(nodes, judged, excluded)
+        rebuilt = build_nodes(after, excluded)
+        assert live_rows(by_delta) == live_rows(rebuilt)
+        gone = lambda df: sorted(r["node_id"] for r in df.filter("is_deleted").collect())
+        assert gone(by_delta) == gone(rebuilt)
+        assert {r["n"] for r in problems(rebuilt, spark.createDataFrame([(0, "C", 0, True)], VOLUME)).collect()} == {0}
+
+
+def test_cycles_hang_at_the_root(spark):
+    rows = [(0, "C", r, 1, p, n, f, s, s, 0) for r, p, n, f, s in ((5, 5, ".", 1, 0), (20, 21, "a", 1, 0), (21, 20, "b", 1, 0), (22, 21, "f", 0, 10), (30, 30, "self", 1, 0))]
+    got = {r["name"]: (r["size"], r["subtree_files"], r["depth"], r["is_orphan"]) for r in build_nodes(spark.createDataFrame(rows, ENTRY)).collect()}
+    assert got["."] == (10, 1, 0, False) and got["a"] == (10, 1, 1, True) and got["b"] == (10, 1, 2, False) and got["f"] == (10, 0, 3, False)
+
+
+def test_snapshots_replace_and_clean_up(spark, tmp_path, sample):
+    path = f"file://{tmp_path}/index"
+    volumes = spark.createDataFrame([(0, "C", 0, False)], VOLUME)
+    for _ in range(4):
+        snapshot.save(sample, volumes, path)
+    assert snapshot.peek(spark, path)["epoch"] == 4
+    assert sorted(p.name.split("-")[0] for p in tmp_path.glob("index/epoch=*")) == ["epoch=3", "epoch=4"]
+
+
+def test_watch_refuses_a_journal_with_a_gap(spark, tmp_path, sample):
+    path = f"file://{tmp_path}/index"
+    snapshot.save(sample, spark.createDataFrame([(0, "C", 5, True)], VOLUME), path)
+    with pytest.raises(Desynchronised):
+        watch(spark, f"{tmp_path}/none", path, f"{tmp_path}/checkpoint", journals=spark.createDataFrame([(0, 6, 9)], "vol_ord int, first_usn long, last_usn long"))
+
+
+def test_raw_batches_feed_the_watch(spark, tmp_path, sample):
+    path = f"file://{tmp_path}/index"
+    snapshot.save(sample, spark.createDataFrame([(0, "C", 0, True)], VOLUME), path)
+    home = sample.filter("name = 'Hacker'").first()["record_no"]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "1.bin").write_bytes(image.journal_batch(9, [image.journal_record(900, 1, home, 1, changes.FILE_CREATE, 0x20, "raw é.txt"), image.journal_record(901, 1, home, 2, changes.BASIC_INFO_CHANGE, 0, "x")]))
+    watch_batches(spark, f"{tmp_path}/raw", f"{tmp_path}/rows", 0, f"{tmp_path}/c1").awaitTermination(120)
+    watch(spark, f"{tmp_path}/rows", path, f"{tmp_path}/c2").awaitTermination(120)
+    assert paths(snapshot.load(spark, path)[0].filter("name like 'raw%'")) == ["C:\\Users\\Hacker\\raw é.txt"]
+
+
+def test_scan_of_several_volumes_takes_positions_first(spark, tmp_path):
+    (tmp_path / "c.img").write_bytes(image.volume({5: image.record([image.file_name(5, ".")], 3), 16: image.record([image.file_name(5, "x"), image.attribute(0x80, b"123")])}))
+    asked = []
+    engine = Engine.scan(spark, Config(drives=("C", "D", "E")), {d: f"{tmp_path}/c.img" for d in "CE"}, lambda d: asked.append(d) or (7, True))
+    assert asked == ["C", "E"]
+    assert {(r["drive"], r["next_usn"], r["files"]) for r in engine.status().collect()} == {("C", 7, 2), ("E", 7, 2)}
+
+
+def test_session_keeps_the_order_of_a_request(sample):
+    s = Session(sample)
+    first, n = s.search(SearchArgs(text="l", limit=2))
+    assert not s.cached and len(first.collect()) == 2
+    second, m = s.search(SearchArgs(text="l", offset=2, limit=2))
+    assert s.cached and n == m and s.elapsed >= 0
+    whole = paths(search(sample, SearchArgs(text="l")))
+    assert paths(first) + paths(second) == whole[:4]
+    s.reset()
+    assert s.found is None
+
+
+def test_hits_and_shaping(spark, tmp_path):
+    d = spark.createDataFrame([("ab AB\nxab\r\n", 1), ("", 2), (None, 3)], "t string, k int")
+    hits = T.find_hits(F.col("t"), "aB")
+    d = d.withColumn("h", hits)
+    r = d.select("h", T.next_hit(F.col("h"), 0, 1).alias("next"), T.next_hit(F.col("h"), 9, 0).alias("wrapped"), T.previous_hit(F.col("h"), 0, 0).alias("last"), T.hits_on_line(F.col("h"), 0).alias("on"), T.tally(F.col("h"), T.next_hit(F.col("h"), 0, 1)).alias("tally"), T.endings_of_lines(F.col("t")).alias("ends")).collect()
+    assert [tuple(x) for x in r[0]["h"]] == [(0, 0), (0, 3), (1, 1)] and tuple(r[0]["next"]) == (0, 3) and tuple(r[0]["wrapped"]) == (0, 0) and tuple(r[0]["last"]) == (1, 1)
+    assert r[0]["on"] == [0, 3] and r[0]["tally"] == "2/3" and r[0]["ends"] == ["lf", "crlf"] and r[1]["tally"] == "0/0" and r[1]["h"] == [] and r[2]["h"] == []
+    ranges = spark.createDataFrame([("xAnBANblue",), ("",)], "t string").select(T.highlight_ranges(F.col("t"), "an nb anblue").alias("r")).collect()
+    assert [tuple(x) for x in ranges[0]["r"]] == [(1, 10)] and ranges[1]["r"] == []
+    assert (T.auto_mode("a*"), T.auto_mode("a")) == ("glob", "substring")
+    assert (drill_down("C:\\a", True, ""), drill_down("C:\\a\\f", False, "x"), drill_down("C:\\a\\f", False, "C:\\a\\")) == ("C:\\a\\", "C:\\a\\", "C:\\a\\f")
+    assert (window(10, 8, 5), window(3, 9, 5), window(10, 2, 5)) == ((5, 10), (0, 3), (2, 7))
+    for name in ("b.txt", "A.txt"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "z").mkdir()
+    assert [r["name"] for r in list_directory(spark, str(tmp_path)).collect()] == ["z", "A.txt", "b.txt"]

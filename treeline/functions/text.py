@@ -6,6 +6,7 @@ import re
 import string
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,11 +90,11 @@ def parse_size(text: str) -> int | None:
 
 
 def size_text(n: Column) -> Column:
-    """`512 B`, `1.50 KB`, `15.0 MB`, `150 GB`."""
+    """`512 B`, `1.50 KB`, `15.0 MB`, `150 GB`; ties go to the even digit."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(UNITS[1:], 1):
         x = n / F.lit(float(1024**k))
-        shown = F.when(x >= 100, F.format_string("%.0f", x)).when(x >= 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.2f", x))
+        shown = F.when(x >= 100, F.format_string("%.0f", F.bround(x, 0))).when(x >= 10, F.format_string("%.1f", F.bround(x, 1))).otherwise(F.format_string("%.2f", F.bround(x, 2)))
         out = F.when(n >= 1024**k, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
     return out
 
@@ -139,19 +140,125 @@ def parse_version(text: str) -> tuple[int, int, int] | None:
     return tuple(map(int, m.groups())) if m else None
 
 
+HITS = "array<struct<line:int,col:int>>"
+
+
+def _hits(text: str | None, needle: str) -> list[tuple[int, int]]:
+    out, width = [], len(needle)
+    for i, line in enumerate(fold_text(text or "").split("\n")) if needle else ():
+        at = line.find(needle)
+        while at >= 0:
+            out.append((i, at))
+            at = line.find(needle, at + width)
+    return out
+
+
 def find_hits(text: Column, needle: str) -> Column:
     """Non-overlapping ASCII-folded hits in reading order: array of (line, column), both from 0, columns in characters."""
-    if not needle:
-        return F.array().cast("array<struct<line:int,col:int>>")
-    n, width = fold_text(needle), len(needle)
+    wanted = fold_text(needle)
+
+    @F.pandas_udf(HITS)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"line": i, "col": k} for i, k in _hits(t, wanted)])
+
+    return found(text)
+
+
+def hit_count(text: Column, needle: str) -> Column:
+    """The number of those hits."""
+    return F.regexp_count(fold(text), F.lit(re.sub(r"([^A-Za-z0-9\s])", r"\\\1", fold_text(needle)))) if needle else F.lit(0)
+
+
+def next_hit(hits: Column, line: int, col: int) -> Column:
+    """The first hit at or after a place, else the first of all."""
+    after = F.filter(hits, lambda h: (h["line"] > line) | ((h["line"] == line) & (h["col"] >= col)))
+    return F.coalesce(F.get(after, F.lit(0)), F.get(hits, F.lit(0)))
+
+
+def previous_hit(hits: Column, line: int, col: int) -> Column:
+    """The last hit before a place, else the last of all."""
+    before = F.filter(hits, lambda h: (h["line"] < line) | ((h["line"] == line) & (h["col"] < col)))
+    return F.coalesce(F.get(before, F.size(before) - 1), F.get(hits, F.size(hits) - 1))
+
+
+def tally(hits: Column, hit: Column) -> Column:
+    """`n/m`: the hit's place among all, from 1; `0/0` without hits."""
+    return F.when(F.size(hits) > 0, F.concat(F.array_position(hits, hit).cast("string"), F.lit("/"), F.size(hits).cast("string"))).otherwise("0/0")
+
+
+def hits_on_line(hits: Column, line: int) -> Column:
+    return F.transform(F.filter(hits, lambda h: h["line"] == line), lambda h: h["col"])
+
+
+def _ranges(text: str | None, words: list[str]) -> list[tuple[int, int]]:
+    folded, found = fold_text(text or ""), []
+    for w in words:
+        at = folded.find(w)
+        while at >= 0:
+            found.append((at, at + len(w)))
+            at = folded.find(w, at + len(w))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def highlight_ranges(text: Column, query: str) -> Column:
+    """Where a text holds the query's terms: (start, end) in characters, of overlapping and adjacent ones together; empty terms and those longer than the text say nothing."""
+    words = [fold_text(w) for w in terms(query)]
 
-    def on_line(line: Column, i: Column) -> Column:
-        parts = F.split(fold(line), "\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-        ends = F.slice(parts, 1, F.size(parts) - 1)
-        place = F.transform(ends, lambda p, k: F.struct(i.alias("line"), (F.aggregate(F.slice(parts, 1, k + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + k * width).alias("col")))
-        return place
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b} for a, b in _ranges(t, words)])
 
-    return F.flatten(F.transform(F.split(text, "\n", -1), on_line))
+    return found(text)
+
+
+def register_functions(spark) -> None:
+    """The engine's own functions for SQL: glob_match, looks_like_path, parse_size, and the table functions find_hits and highlight_ranges."""
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    @pandas_udf("boolean")
+    def glob_match(names: pd.Series, patterns: pd.Series) -> pd.Series:
+        return pd.Series([_glob(n, p) for n, p in zip(names, patterns)])
+
+    spark.udf.register("glob_match", glob_match)
+    @pandas_udf("boolean")
+    def path_like(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and looks_like_path(t))
+
+    @pandas_udf("long")
+    def size_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: parse_size(t) if t is not None else None).astype("Int64")
+
+    spark.udf.register("looks_like_path", path_like)
+    spark.udf.register("parse_size", size_of)
+
+    class FindHits:
+        def eval(self, text: str, needle: str):
+            yield from _hits(text, fold_text(needle or ""))
+
+    class HighlightRanges:
+        def eval(self, text: str, query: str):
+            yield from _ranges(text, [fold_text(w) for w in terms(query or "")])
+
+    spark.udtf.register("find_hits", udtf(FindHits, returnType="line int, col int"))
+    spark.udtf.register("highlight_ranges", udtf(HighlightRanges, returnType="start int, end int"))
+
+
+def _glob(name: str | None, pattern: str | None) -> bool | None:
+    if name is None or pattern is None:
+        return None
+    rx = b"".join(b".*" if c == 42 else b"." if c == 63 else re.escape(bytes([c])) for c in fold_text(pattern).encode())
+    return re.fullmatch(rx, fold_text(name).encode(), re.S) is not None
+
+
+def auto_mode(text: str) -> str:
+    """The mode that an interactive query is read in: a glob if it has a wildcard."""
+    return "glob" if "*" in text or "?" in text else "substring"
 
 
 def line_endings(text: Column) -> Column:
@@ -161,6 +268,28 @@ def line_endings(text: Column) -> Column:
     return F.when(crlf + lf == 0, "none").when(crlf > lf, "crlf").otherwise("lf")
 
 
+def endings_of_lines(text: Column) -> Column:
+    """`crlf`, `lf` or, for a last line without an end, `none`, for each line."""
+    parts = F.split(text, "\n", -1)
+    last = F.size(parts) - 1
+    each = F.transform(parts, lambda x, i: F.when(i == last, "none").when(x.endswith("\r"), "crlf").otherwise("lf"))
+    return F.filter(each, lambda x, i: (i < last) | (F.element_at(parts, -1) != ""))
+
+
+def ends_with_newline(text: Column) -> Column:
+    return text.endswith("\n")
+
+
+def read_range(content: Column, offset: int, n: int) -> Column:
+    """Up to n bytes of a content from an offset on."""
+    return F.substring(content, offset + 1, n)
+
+
+def drive_selectable(filesystem: Column) -> Column:
+    """Only volumes of this file system can be read."""
+    return F.coalesce(fold(filesystem) == "ntfs", F.lit(False))
+
+
 def text_class(content: Column) -> Column:
     """`utf-32`, `utf-16`, `binary`, `invalid`, `control`, `too long` or `text` for the bytes of a file."""
     head = lambda n: F.hex(F.substring(content, 1, n))

@@ -1,7 +1,8 @@
 """Groups of byte-identical files in tiers: equal size, equal sample of head and tail, equal hash of the whole.
 
-Scale: sizes that occur once are dropped before any content is read; contents are joined only for what is left, and are
-reduced to hashes in the same stage. Groups are aggregated, never joined with themselves.
+Scale: sizes that occur once are dropped before any content is read, contents are joined for what is left and reduced to
+samples in the same stage, and whole contents are hashed only where a sample is repeated. Groups are aggregated, and their
+copies stay rows of their own, however many there are.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.functions.storage import saved
 from treeline.operators.search import scope
 
 BLOCK = 4096
@@ -25,31 +27,49 @@ def candidates(nodes: DataFrame, min_size: int = 1, under: str | None = None, in
 
 
 def _tiers(found: DataFrame, contents: DataFrame) -> DataFrame:
-    """Candidates of repeated sizes with `sample` and, if that is repeated too, `whole` (null: not read or unreadable)."""
+    """Candidates of repeated sizes with `sample` and, only where that is repeated too, `whole` (null: not read or unreadable), as a written table."""
     sizes = found.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")
     c = F.col("content")
-    hashed = found.join(sizes, "size").join(contents, "node_id", "left").select(
-        "node_id", "path", "size", F.when(c.isNull(), None).when(F.col("size") >= SAMPLED, F.xxhash64(F.concat(F.substring(c, 1, BLOCK), F.substring(c, -BLOCK, BLOCK)))).otherwise(F.lit(0)).alias("sample"),
-        F.sha2(c, 256).alias("hash"), c.isNotNull().alias("read"),
-    )
-    again = hashed.filter("read").groupBy("size", "sample").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "sample", F.lit(True).alias("again"))
-    return hashed.join(again, ["size", "sample"], "left").withColumn("whole", F.when(F.col("again"), F.col("hash")))
+    sample = F.when(c.isNull(), None).when(F.col("size") >= SAMPLED, F.xxhash64(F.concat(F.substring(c, 1, BLOCK), F.substring(c, -BLOCK, BLOCK)))).otherwise(F.lit(0))
+    sampled = saved(found.join(sizes, "size").join(contents, "node_id", "left").select("node_id", "path", "size", sample.alias("sample"), c.isNotNull().alias("read")), "samples")
+    again = sampled.filter("read").groupBy("size", "sample").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "sample")
+    wanted = sampled.filter("read").join(again, ["size", "sample"], "left_semi").select("node_id")
+    hashed = wanted.join(contents, "node_id").select("node_id", F.sha2(c, 256).alias("whole"))
+    return saved(sampled.join(hashed, "node_id", "left"), "hashes")
+
+
+def _groups(tiers: DataFrame) -> DataFrame:
+    g = tiers.filter("whole is not null").groupBy("size", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min("node_id").alias("first_node")).filter("copies > 1")
+    return g.withColumn("wasted", F.col("size") * (F.col("copies") - 1))
+
+
+def _copies(ranked: DataFrame, tiers: DataFrame) -> DataFrame:
+    """A row for each copy of the groups: never a row that holds them all."""
+    return tiers.join(ranked, ["size", "whole"]).select("size", "copies", "wasted", "first_node", "node_id", "path")
 
 
 def groups(nodes: DataFrame, contents: DataFrame, limit: int = 0, **filters) -> DataFrame:
-    """size, copies, wasted, first node and paths of each group, most wasted first; limit 0: all."""
-    t = _tiers(candidates(nodes, **filters), contents).filter("whole is not null")
-    g = t.groupBy("size", "whole").agg(F.count(F.lit(1)).alias("copies"), F.sort_array(F.collect_list(F.struct("node_id", "path"))).alias("members")).filter("copies > 1")
-    g = g.select("size", "copies", (F.col("size") * (F.col("copies") - 1)).alias("wasted"), F.col("members")[0]["node_id"].alias("first_node"), F.transform("members", lambda m: m["path"]).alias("paths"))
-    g = g.orderBy(F.desc("wasted"), "first_node")
-    return g.limit(limit) if limit else g
+    """size, copies, wasted and first node of each group with node and path of each of its copies; the `limit` most wasteful groups, 0: all."""
+    t = _tiers(candidates(nodes, **filters), contents)
+    g = _groups(t)
+    return _copies(g.orderBy(F.desc("wasted"), "first_node").limit(limit) if limit else g, t)
+
+
+def whole_groups(nodes: DataFrame, contents: DataFrame, limit: int = 0, most: int = 10_000, **filters) -> DataFrame:
+    """The copies of the most wasteful groups (at most `limit`) up to the first group that would take their number beyond `most`."""
+    t = _tiers(candidates(nodes, **filters), contents)
+    # a group has two copies at least, so no more groups than these can be shown
+    few = min(limit, most // 2 + 1) if limit else most // 2 + 1
+    ranked = _groups(t).orderBy(F.desc("wasted"), "first_node").limit(few)
+    shown = F.sum("copies").over(Window.orderBy(F.desc("wasted"), "first_node"))
+    return _copies(ranked.withColumn("shown", shown).filter(F.col("shown") <= most).drop("shown"), t)
 
 
 def stats(nodes: DataFrame, contents: DataFrame, limit: int = 0, **filters) -> DataFrame:
     """One row: how much each tier considered and read, groups (after limit) and wasted bytes (before)."""
     found = candidates(nodes, **filters)
     t = _tiers(found, contents)
-    g = groups(nodes, contents, 0, **filters).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted_bytes"))
+    g = _groups(t).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted_bytes"))
     sampled = F.col("read") & (F.col("size") >= SAMPLED)
     counted = t.agg(
         F.count(F.lit(1)).alias("size_candidates"), F.count_if(sampled).alias("sampled"), F.count_if(F.col("whole").isNotNull()).alias("fully_hashed"),
@@ -59,14 +79,8 @@ def stats(nodes: DataFrame, contents: DataFrame, limit: int = 0, **filters) -> D
     return found.agg(F.count(F.lit(1)).alias("considered")).join(counted).join(g)
 
 
-def whole_groups(ranked: DataFrame, most: int = 10_000) -> DataFrame:
-    """The groups, in order, up to the first that would take the number of copies beyond `most`."""
-    order = Window.orderBy(F.desc("wasted"), "first_node")
-    return ranked.withColumn("shown", F.sum("copies").over(order)).filter(F.col("shown") <= most).drop("shown")
-
-
-def flattened(ranked: DataFrame) -> DataFrame:
+def flattened(copies: DataFrame) -> DataFrame:
     """A header row for each group and a row for each copy under it."""
-    copies = ranked.select("first_node", "wasted", "copies", F.posexplode("paths").alias("place", "path"))
-    heads = ranked.select("first_node", "wasted", "copies", F.lit(-1).alias("place"), F.lit(None).cast("string").alias("path"))
-    return heads.unionByName(copies).orderBy(F.desc("wasted"), "first_node", "place")
+    lines = copies.select("first_node", "wasted", "copies", F.lit(1).alias("place"), "node_id", "path")
+    heads = copies.filter("node_id = first_node").select("first_node", "wasted", "copies", F.lit(0).alias("place"), F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("string").alias("path"))
+    return heads.unionByName(lines).orderBy(F.desc("wasted"), "first_node", "place", "node_id")

@@ -20,7 +20,6 @@ from treeline.functions.text import fold
 DIRECTORY, REPARSE, COMPRESSED, SPARSE, HIDDEN, SYSTEM, READONLY, HARD_LINK = 1, 2, 4, 8, 16, 32, 64, 128
 HAS_ADS, ENCRYPTED, METADATA, EXCLUDED, ORPHAN, DELETED, NAME_OVERRIDDEN = 256, 512, 1024, 2048, 4096, 8192, 16384
 ROOT_RECORD = 5
-MAX_ROUNDS = 10
 
 
 def has(flags: Column, bits: int) -> Column:
@@ -34,47 +33,62 @@ def node_id(vol_ord: Column, record_no: Column) -> Column:
 def with_parents(entries: DataFrame) -> DataFrame:
     """Node ids, and each entry's parent: the root for one whose parent is missing or no directory's record (ORPHAN)."""
     e = entries.withColumns({"node_id": node_id(F.col("vol_ord"), F.col("record_no")), "is_dir": has(F.col("flags"), DIRECTORY)})
-    dirs = e.filter("is_dir").select(F.col("node_id").alias("found"))
+    dirs = e.filter(F.col("is_dir") & ~has(F.col("flags"), DELETED)).select(F.col("node_id").alias("found"))
     wanted = node_id(F.col("vol_ord"), F.col("parent_record"))
     e = e.join(dirs, wanted == F.col("found"), "left")
     root = node_id(F.col("vol_ord"), F.lit(ROOT_RECORD))
     is_root = F.col("record_no") == ROOT_RECORD
-    orphan = F.col("found").isNull() & ~is_root
+    orphan = F.col("found").isNull() & ~is_root & ~has(F.col("flags"), DELETED)
     e = e.withColumn("parent_id", F.when(is_root, root).otherwise(F.coalesce("found", root)))
     return e.withColumn("flags", F.when(orphan, F.col("flags").bitwiseOR(F.lit(ORPHAN))).otherwise(F.col("flags"))).drop("found", "parent_record")
 
 
-def closure(dirs: DataFrame) -> DataFrame:
-    """id, ancestors (self first, root last) and their names of directories (node_id, parent_id, name). A cycle is cut after 2**MAX_ROUNDS steps."""
+def closure(dirs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, ancestors (self first, root last) and their names of directories (node_id, parent_id, name); the smallest id of each cycle, or None).
+
+    Rounds go on until every chain has reached its root or met itself, however deep the forest is.
+    """
     next_ = F.when(F.col("parent_id") != F.col("node_id"), F.col("parent_id"))
     now = saved(dirs.select(F.col("node_id").alias("id"), F.array("node_id").alias("ancestors"), F.array("name").alias("names"), next_.alias("next")), "closure")
-    for _ in range(MAX_ROUNDS):
-        if now.filter("next is not null").isEmpty():
-            break
+    met = F.array_contains("ancestors", F.col("next"))
+    while not now.filter(F.col("next").isNotNull() & ~met).isEmpty():
         above = now.select(F.col("id").alias("up"), F.col("ancestors").alias("a2"), F.col("names").alias("n2"), F.col("next").alias("next2"))
-        joined = now.join(above, now["next"] == above["up"], "left")
+        joined = now.join(above, (now["next"] == above["up"]) & ~F.array_contains(now["ancestors"], now["next"]), "left")
         more = lambda x, y, kind: F.concat(x, F.coalesce(y, F.array().cast(kind)))
-        now = saved(joined.select("id", more("ancestors", F.col("a2"), "array<bigint>").alias("ancestors"), more("names", F.col("n2"), "array<string>").alias("names"), F.col("next2").alias("next")), "closure")
-    return now.select("id", "ancestors", "names")
+        on = F.when(F.col("up").isNotNull(), F.col("next2")).otherwise(F.col("next"))
+        now = saved(joined.select("id", more("ancestors", F.col("a2"), "array<bigint>").alias("ancestors"), more("names", F.col("n2"), "array<string>").alias("names"), on.alias("next")), "closure")
+    round_ = now.filter("next is not null")
+    cycles = None
+    if not round_.isEmpty():
+        cycles = saved(round_.select(F.array_min(F.slice("ancestors", F.array_position("ancestors", F.col("next")).cast("int"), F.size("ancestors"))).alias("first")).distinct(), "cycles")
+    return now.select("id", "ancestors", "names"), cycles
+
+
+def under(excluded: list[str], drive: Column, key: Column) -> Column:
+    """Whether a directory's folded path of names stands at or under one of the paths."""
+    hit = F.lit(False)
+    for path in excluded:
+        wanted = fold(F.lit("\n".join([".", *(x for x in path[2:].split("\\") if x)])))
+        hit = hit | ((drive == path[:1].upper()) & ((key == wanted) | F.startswith(key, F.concat(wanted, F.lit("\n")))))
+    return hit
 
 
 def build_nodes(entries: DataFrame, excluded: list[str] = (), epoch: int = 0) -> DataFrame:
-    """The node table of entries. excluded: paths of directories whose bytes don't count toward others'."""
+    """The node table of entries. excluded: paths of directories whose bytes don't count toward others'. Of directories that hold each other the one with the smallest id hangs at the root (ORPHAN). Deleted entries stay and count nothing."""
     e = with_parents(entries)
-    above = closure(e.filter("is_dir").select("node_id", "parent_id", "name")).withColumn("up_path", _joined("names"))
-    roots = []
-    for path in excluded:
-        drive, names = path[:1].upper(), [x for x in path[2:].split("\\") if x]
-        key = "\n".join([".", *names])
-        roots.append((F.lit(drive), fold(F.lit(key))))
+    chains = lambda e: closure(e.filter("is_dir").select("node_id", "parent_id", "name"))
+    above, cycles = chains(e)
+    if cycles is not None:
+        e = e.join(F.broadcast(cycles), e["node_id"] == cycles["first"], "left")  # as few as the table's faults
+        cut = F.col("first").isNotNull()
+        e = e.withColumns({"parent_id": F.when(cut, node_id(F.col("vol_ord"), F.lit(ROOT_RECORD))).otherwise(F.col("parent_id")), "flags": F.when(cut, F.col("flags").bitwiseOR(F.lit(ORPHAN))).otherwise(F.col("flags"))}).drop("first")
+        above, _ = chains(e)
+    above = above.withColumn("up_path", _joined("names"))
     key = fold(F.array_join(F.reverse("names"), "\n"))
-    above = above.join(e.select(F.col("node_id").alias("id"), "drive"), "id")
-    hit = F.lit(False)
-    for drive, wanted in roots:
-        hit = hit | ((F.col("drive") == drive) & ((key == wanted) | F.startswith(key, F.concat(wanted, F.lit("\n")))))
-    above = saved(above.withColumn("under_excluded", hit).drop("drive"), "directories")
+    above = above.join(e.filter("is_dir").select(F.col("node_id").alias("id"), "drive"), "id")
+    above = saved(above.withColumn("under_excluded", under(list(excluded), F.col("drive"), key)).drop("drive"), "directories")
 
-    files = e.filter("not is_dir")
+    files = e.filter(~F.col("is_dir") & ~has(F.col("flags"), DELETED))
     own = files.groupBy(F.col("parent_id").alias("id")).agg(F.sum("own_size").alias("size"), F.sum("own_alloc").alias("alloc"), F.count(F.lit(1)).alias("files"))
     spread = above.join(own, "id").select(F.explode("ancestors").alias("id"), "size", "alloc", "files", "under_excluded")
     out = F.col("under_excluded")
@@ -86,7 +100,7 @@ def build_nodes(entries: DataFrame, excluded: list[str] = (), epoch: int = 0) ->
     is_dir = F.col("is_dir")
     chain = F.when(is_dir, F.col("ancestors")).otherwise(F.concat(F.array("node_id"), "ancestors"))
     names = F.when(is_dir, F.col("names")).otherwise(F.concat(F.array("name"), "names"))
-    flags = F.when(F.col("under_excluded"), F.col("flags").bitwiseOR(F.lit(EXCLUDED))).otherwise(F.col("flags"))
+    flags = F.when(F.col("under_excluded"), F.col("flags").bitwiseOR(F.lit(EXCLUDED))).otherwise(F.col("flags").bitwiseAND(F.lit(~EXCLUDED)))
     d = joined.select(
         "node_id", "vol_ord", "drive", "record_no", "sequence", "parent_id", "name", fold(F.col("name")).alias("name_fold"), flags.alias("flags"), "own_size", "own_alloc",
         F.when(is_dir, counted("size")).otherwise(F.col("own_size")).alias("size"), F.when(is_dir, counted("alloc")).otherwise(F.col("own_alloc")).alias("alloc"),

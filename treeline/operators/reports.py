@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from treeline.operators.search import lookup, result_rows, scope
 
 LIVE = "not is_deleted"
+#: Fixed value: bytes of a node's fields but for its name.
+FIXED_BYTES = 38
 
 
 def size_children(nodes: DataFrame, path: str, top: int) -> DataFrame:
@@ -46,11 +48,35 @@ def status(nodes: DataFrame, volumes: DataFrame) -> DataFrame:
     """Per volume: files and bytes of the root, directories, deleted nodes, position and liveness of the journal."""
     counts = nodes.groupBy("vol_ord").agg(
         F.max(F.when(F.col("is_root"), F.col("subtree_files"))).alias("files"), F.max(F.when(F.col("is_root"), F.col("size"))).alias("size"),
-        F.count_if(F.col("is_dir")).alias("dirs"), F.count_if(F.col("is_deleted")).alias("deleted"), F.count(F.lit(1)).alias("nodes"),
+        F.count_if(F.col("is_dir") & ~F.col("is_deleted")).alias("dirs"), F.count_if(F.col("is_deleted")).alias("deleted"), F.count(F.lit(1)).alias("nodes"),
     )
     return volumes.join(counts, "vol_ord", "left")
 
 
+def tombstones(nodes: DataFrame) -> DataFrame:
+    """Deleted nodes of each volume."""
+    return nodes.groupBy("vol_ord").agg(F.count_if(F.col("is_deleted")).alias("tombstones"))
+
+
+def memory_estimate(nodes: DataFrame) -> DataFrame:
+    """Bytes that the nodes of each volume take in memory: the fixed fields, the names, and a table of records."""
+    return nodes.groupBy("vol_ord").agg((FIXED_BYTES * F.count(F.lit(1)) + F.sum(F.octet_length("name")) + 4 * (F.max("record_no") + 1)).cast("long").alias("bytes"))
+
+
+def listing(nodes: DataFrame, path: str) -> DataFrame:
+    """What a directory holds: directories first, then by folded name, then by name."""
+    home = scope(nodes, path)
+    kids = nodes.filter((F.col("parent_id") == home) & ~F.col("is_root") & F.expr(LIVE))
+    return kids.orderBy(F.desc("is_dir"), "name_fold", "name", "node_id")
+
+
+def scan_report(nodes: DataFrame) -> DataFrame:
+    """Per volume what a scan found: files, directories, their bytes and allocation."""
+    live = nodes.filter(F.expr(LIVE))
+    file = lambda c: F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col(c))), F.lit(0)).cast("long")
+    return live.groupBy("vol_ord").agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if(F.col("is_dir")).alias("dirs"), file("own_size").alias("size"), file("own_alloc").alias("alloc"))
+
+
 def share_of_largest(rows: DataFrame) -> DataFrame:
     """Tenths of the largest size, for each row of a page."""
     most = F.max("size").over(Window.partitionBy())

@@ -153,3 +153,32 @@ def search(nodes: DataFrame, args: SearchArgs) -> DataFrame:
 
 def total(nodes: DataFrame, args: SearchArgs) -> int:
     return resolve(nodes, args)[0].count()
+
+
+def complete(nodes: DataFrame, partial: str) -> tuple[str, int]:
+    """(a path's completion, number of candidates): the longest common prefix of the names in its directory that begin as it ends; with a separator after the only one, if that is a directory."""
+    place = T.split_browse(partial)
+    home = lookup(nodes, place[0]).filter("is_dir").select("node_id").first() if place else None
+    if home is None:
+        return partial, 0
+    found = matches(nodes, SearchArgs(text=place[1], mode="prefix", children_of=home["node_id"], include_excluded=True))
+    # the least and the greatest name share what all share
+    r = found.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name_fold", "name", "is_dir")).alias("a"), F.max(F.struct("name_fold", "name")).alias("b")).first()
+    if not r["n"]:
+        return partial, 0
+    shared = T.common_prefix([r["a"]["name"], r["b"]["name"]])
+    return place[0] + shared + ("\\" if r["n"] == 1 and r["a"]["is_dir"] else ""), r["n"]
+
+
+def drill_down(path: str, is_dir: bool, typed: str) -> str:
+    """What a result row puts into the query: a directory's path with a separator; a file's directory, and the file itself once that is typed."""
+    if is_dir:
+        return path + "\\"
+    home = T.parent_dir(path) + "\\"
+    return path if typed == home else home
+
+
+def window(total: int, start: int, visible: int) -> tuple[int, int]:
+    """(first, end) of the rows shown: the start held within what is there."""
+    first = max(0, min(start, total - visible))
+    return first, min(total, first + visible)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
-from treeline.functions.storage import saved
+from treeline.functions.storage import saved, shared_dir
 from treeline.operators import changes, dupes, reports, spill
-from treeline.operators.forest import build_nodes
-from treeline.operators.search import SearchArgs, lookup, ordering, page, resolve
-from treeline.sources import snapshot, tables
-from treeline.streaming.journal import entries_of_nodes
+from treeline.operators.forest import DELETED, build_nodes, has
+from treeline.operators.search import SearchArgs, complete, lookup, ordering, page, resolve
+from treeline.sources import image, ntfs, snapshot, tables
+from treeline.streaming.journal import entries_of_nodes, position_gap
 
 EXCLUDED = "C:\\MIDDLE EAST"
 _BUILT: dict = {}
@@ -221,36 +222,38 @@ WITH lr AS (SELECT lang, row_number() OVER (ORDER BY lang) AS k FROM (SELECT DIS
 files AS (SELECT (281474976710656 + 1000000 + doc_id)::BIGINT AS node_id, 'D:\' || d.lang || '\' || source || '\doc_' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size, sha256(text) AS h, text, d.lang
   FROM documents d JOIN lr ON lr.lang = d.lang WHERE strlen(text) > 0),
 """
-_GROUPS = _D + "g AS (SELECT size, count(*)::BIGINT AS copies, (size * (count(*) - 1))::BIGINT AS wasted, min(node_id) AS first_node, string_agg(path, '|' ORDER BY node_id) AS paths FROM files {where} GROUP BY size, h HAVING count(*) > 1)\n"
+_GROUPS = _D + "g AS (SELECT size, count(*)::BIGINT AS copies, (size * (count(*) - 1))::BIGINT AS wasted, min(node_id) AS first_node, h FROM files {where} GROUP BY size, h HAVING count(*) > 1)\n"
+_COPIES = "SELECT {g}.size, copies, wasted, first_node, node_id, path FROM {g} JOIN files ON files.size = {g}.size AND files.h = {g}.h {where}"
 
 
-def _shown(groups: DataFrame) -> DataFrame:
-    return groups.withColumn("paths", F.array_join("paths", "|"))
-
-
-@register("dupes_groups", _GROUPS.format(where="") + "SELECT * FROM g")
+@register("dupes_groups", _GROUPS.format(where="") + _COPIES.format(g="g", where=""))
 def dupes_groups(spark, sf_dir):
-    return _shown(dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir)))
+    return dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir))
 
 
-@register("dupes_top", _GROUPS.format(where="") + "SELECT * FROM g ORDER BY wasted DESC, first_node LIMIT 10")
+@register("dupes_top", _GROUPS.format(where="") + ", t AS (SELECT * FROM g ORDER BY wasted DESC, first_node LIMIT 10) " + _COPIES.format(g="t", where=""))
 def dupes_top(spark, sf_dir):
-    return _shown(dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), 10))
+    return dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), 10)
 
 
-@register("dupes_under", _GROUPS.format(where="WHERE lang = 'en'") + "SELECT * FROM g")
+@register("dupes_under", _GROUPS.format(where="WHERE lang = 'en'") + _COPIES.format(g="g", where="WHERE lang = 'en'"))
 def dupes_under(spark, sf_dir):
-    return _shown(dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), under="D:\\en"))
+    return dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), under="D:\\en")
 
 
-@register("dupes_min_size", _GROUPS.format(where="WHERE size >= 4000") + "SELECT * FROM g")
+@register("dupes_min_size", _GROUPS.format(where="WHERE size >= 4000") + _COPIES.format(g="g", where=""))
 def dupes_min_size(spark, sf_dir):
-    return _shown(dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), min_size=4000))
+    return dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), min_size=4000)
 
 
-@register("dupes_capped", _GROUPS.format(where="") + "SELECT * EXCLUDE (shown) FROM (SELECT *, sum(copies) OVER (ORDER BY wasted DESC, first_node) AS shown FROM g) WHERE shown <= 40")
+@register("dupes_capped", _GROUPS.format(where="") + ", t AS (SELECT * EXCLUDE (shown) FROM (SELECT *, sum(copies) OVER (ORDER BY wasted DESC, first_node) AS shown FROM g) WHERE shown <= 40) " + _COPIES.format(g="t", where=""))
 def dupes_capped(spark, sf_dir):
-    return _shown(dupes.whole_groups(dupes.groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir)), 40))
+    return dupes.whole_groups(index(spark, sf_dir, "D"), tables.contents_d(spark, sf_dir), most=40)
+
+
+@register("dupes_flattened", _GROUPS.format(where="") + "SELECT first_node, wasted, copies, 0 AS place, NULL::BIGINT AS node_id, NULL::VARCHAR AS path FROM g UNION ALL SELECT first_node, wasted, copies, 1, node_id, path FROM (" + _COPIES.format(g="g", where="") + ")")
+def dupes_flattened(spark, sf_dir):
+    return dupes.flattened(dupes_groups(spark, sf_dir))
 
 
 @register("dupes_stats", _GROUPS.format(where="") + """, s AS (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM files),
@@ -265,10 +268,10 @@ def dupes_stats(spark, sf_dir):
 _J = """
 WITH e AS (SELECT event_id, ts, user_id, event_type, value, (1 + coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS sequence FROM events),
 a AS (SELECT 1000000 + user_id AS record, sequence, min(event_id) AS first, max(event_id) FILTER (event_type = 'signup') AS cu, max(event_id) FILTER (event_type = 'error') AS du,
-  bool_or(event_type = 'view') AS v, bool_or(event_type IN ('click', 'purchase')) AS z, 'u' || any_value(user_id) || '_' || max(event_id) || '.dat' AS name,
+  bool_or(event_type = 'view') AS v, 'u' || any_value(user_id) || '_' || max(event_id) FILTER (event_type = 'view') || '.dat' AS vname, bool_or(event_type IN ('click', 'purchase')) AS z, 'u' || any_value(user_id) || '_' || max(event_id) || '.dat' AS name,
   (max_by(value, event_id)::DECIMAL(12, 2) * 100)::BIGINT AS size, epoch(date_trunc('second', max(ts)))::BIGINT AS mtime FROM e GROUP BY user_id, sequence),
 b AS (SELECT *, (du IS NOT NULL AND (cu IS NULL OR du >= cu)) AS gone FROM a),
-g AS (SELECT record, sequence, first, name, size, mtime, cu IS NOT NULL AND NOT gone AS created, gone AND cu IS NULL AS deleted, v AND NOT gone AND cu IS NULL AS renamed, z AND NOT gone AND cu IS NULL AS resized FROM b WHERE NOT (gone AND cu IS NOT NULL))
+g AS (SELECT record, sequence, first, CASE WHEN v AND NOT gone AND cu IS NULL THEN vname ELSE name END AS name, size, mtime, cu IS NOT NULL AND NOT gone AS created, gone AND cu IS NULL AS deleted, v AND NOT gone AND cu IS NULL AS renamed, z AND NOT gone AND cu IS NULL AS resized FROM b WHERE NOT (gone AND cu IS NOT NULL))
 """
 
 
@@ -292,7 +295,7 @@ m AS (SELECT k.*, base.record IS NOT NULL AND place = 1 AND sequence = 1 AS matc
   UNION ALL SELECT record, 1, name, size FROM base WHERE record NOT IN (SELECT record FROM k)""")
 def journal_apply_final(spark, sf_dir):
     after, _ = changes.apply(tables.volume_d(spark, sf_dir), tables.journal(spark, sf_dir))
-    return after.filter("record_no >= 1000000").select("record_no", "sequence", "name", F.col("own_size").alias("size"))
+    return after.filter((F.col("record_no") >= 1_000_000) & ~has(F.col("flags"), DELETED)).select("record_no", "sequence", "name", F.col("own_size").alias("size"))
 
 
 @register("journal_counters", _AFTER + """, c AS (SELECT *, unnest(list_filter([CASE WHEN created THEN 'Created' END, CASE WHEN deleted THEN 'Deleted' END, CASE WHEN renamed THEN 'Renamed' END, CASE WHEN resized THEN 'Resized' END], lambda x: x IS NOT NULL)) AS op FROM m)
@@ -301,6 +304,136 @@ def journal_counters(spark, sf_dir):
     return changes.counters(changes.outcomes(_coalesced(spark, sf_dir), tables.volume_d(spark, sf_dir)))
 
 
+_PLACES = r"""lr AS (SELECT lang, row_number() OVER (ORDER BY lang) AS n FROM (SELECT DISTINCT lang FROM documents)),
+place AS (SELECT 1000000 + doc_id AS record, 15 + lr.n AS l, 1000 + 1000 * lr.n + regexp_extract(source, '(\d+)', 1)::BIGINT AS s, lr.n = 1 AS ex FROM documents JOIN lr USING (lang)),
+"""
+_EACH_OP = "SELECT *, unnest(list_filter([CASE WHEN created THEN 'Created' END, CASE WHEN deleted THEN 'Deleted' END, CASE WHEN renamed THEN 'Renamed' END, CASE WHEN resized THEN 'Resized' END], lambda x: x IS NOT NULL)) AS op FROM"
+
+
+def _without_first(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Volume D with its first language's directory excluded, which is where the journal's new files stand."""
+    path = "D:\\" + tables.read(spark, sf_dir, "documents").agg(F.min("lang")).first()[0]
+    return build_nodes(tables.volume_d(spark, sf_dir), [path]), [path]
+
+
+@register("journal_excluded", _AFTER + ", " + _PLACES + f"c AS ({_EACH_OP} (SELECT m.*, matches AND coalesce(ex, false) AS out FROM m LEFT JOIN place ON place.record = m.record))" + """
+SELECT op, outcome, count(*)::BIGINT AS n FROM (SELECT op, CASE WHEN op = 'Created' THEN CASE WHEN matches AND NOT out THEN 'Resized' ELSE 'Ignored' END WHEN NOT matches THEN 'Unknown'
+  WHEN op IN ('Deleted', 'Resized') AND out THEN 'Ignored' ELSE op END AS outcome FROM c) GROUP BY op, outcome""")
+def journal_excluded(spark, sf_dir):
+    """Nothing is created under an excluded directory, and what stands there is deleted and resized without notice."""
+    nodes, _ = _without_first(spark, sf_dir)
+    return changes.counters(changes.outcomes(_coalesced(spark, sf_dir), entries_of_nodes(nodes)))
+
+
+@register("tombstones", _AFTER + """, gone AS (SELECT record FROM m WHERE final AND ((matches AND deleted) OR (NOT matches AND NOT created)) AND record IN (SELECT record FROM base))
+SELECT 1 AS vol_ord, (SELECT count(*) FROM gone)::BIGINT AS tombstones""")
+def tombstones(spark, sf_dir):
+    after, _ = changes.apply(tables.volume_d(spark, sf_dir), tables.journal(spark, sf_dir))
+    return reports.tombstones(build_nodes(after))
+
+
+_DELTA = _AFTER + ", " + _PLACES + """fin AS (SELECT CASE WHEN matches AND NOT (resized OR created) THEN bsize ELSE size END AS size, CASE WHEN matches AND NOT renamed THEN l ELSE 16 END AS l, CASE WHEN matches AND NOT renamed THEN s ELSE 2000 END AS s
+  FROM m LEFT JOIN place ON place.record = m.record WHERE final AND ((matches AND NOT deleted) OR (NOT matches AND created))
+  UNION ALL SELECT size, l, s FROM base JOIN place ON place.record = base.record WHERE base.record NOT IN (SELECT record FROM k)),
+dirs AS (SELECT 5 AS d UNION SELECT l FROM place UNION SELECT s FROM place)
+SELECT d::BIGINT AS record_no, coalesce(sum(size), 0)::BIGINT AS size, count(size)::BIGINT AS files FROM dirs LEFT JOIN (SELECT 5 AS place_at, size FROM fin UNION ALL SELECT l, size FROM fin UNION ALL SELECT s, size FROM fin) ON place_at = d GROUP BY d"""
+
+
+def _directories(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("is_dir").select("record_no", "size", F.col("subtree_files").alias("files"))
+
+
+@register("journal_delta", _DELTA)
+def journal_delta(spark, sf_dir):
+    """Totals after a batch by what it adds and takes away."""
+    nodes = index(spark, sf_dir, "D")
+    return _directories(changes.apply_to_nodes(nodes, saved(changes.outcomes(_coalesced(spark, sf_dir), entries_of_nodes(nodes)), "judged")))
+
+
+@register("journal_rebuild", _DELTA)
+def journal_rebuild(spark, sf_dir):
+    return _directories(build_nodes(changes.apply(entries_of_nodes(index(spark, sf_dir, "D")), tables.journal(spark, sf_dir))[0]))
+
+
+@register("journal_gap", "SELECT * FROM (VALUES (0, 'C', false), (1, 'D', true), (2, 'E', true), (3, 'F', false)) t(vol_ord, drive, desynced)")
+def journal_gap(spark, sf_dir):
+    """Positions 5, 5, 5 and 9 of journals that hold 0 to 9, 6 to 9, nothing that is known, and 5 to 9, both ends included."""
+    v = spark.createDataFrame([(0, "C", 5), (1, "D", 5), (2, "E", 5), (3, "F", 9)], "vol_ord int, drive string, next_usn long")
+    return position_gap(v, spark.createDataFrame([(0, 0, 9), (1, 6, 9), (3, 5, 9)], "vol_ord int, first_usn long, last_usn long")).select("vol_ord", "drive", "desynced")
+
+
+@register("cycles", "SELECT * FROM (VALUES (5::BIGINT, 5::BIGINT, 30::BIGINT, 2::BIGINT, 0), (20, 5, 30, 2, 1), (21, 20, 30, 2, 2), (22, 21, 20, 1, 3), (23, 21, 10, 0, 3), (24, 22, 20, 0, 4)) t(node_id, parent_id, size, files, depth)")
+def cycles(spark, sf_dir):
+    """Directories 20, 21 and 22 hold each other: the first hangs at the root."""
+    rows = [(5, 5, ".", 1, 0), (20, 22, "a", 1, 0), (21, 20, "b", 1, 0), (22, 21, "c", 1, 0), (23, 21, "f", 0, 10), (24, 22, "g", 0, 20)]
+    e = spark.createDataFrame([(0, "C", r, 1, p, n, f, s, s, 0) for r, p, n, f, s in rows], "vol_ord int, drive string, record_no long, sequence int, parent_record long, name string, flags int, own_size long, own_alloc long, mtime_unix long")
+    return build_nodes(e).select("node_id", "parent_id", "size", F.col("subtree_files").alias("files"), "depth")
+
+
+_TREE_OF_IMAGE = """
+dirs AS (SELECT 100 + r_regionkey AS id, 'C:\\' || r_name AS path FROM region UNION ALL SELECT 1000 + n_nationkey, 'C:\\' || r_name || '\\' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey),
+files AS (SELECT 2000 + s_suppkey AS id, 1000 + s_nationkey AS up, path || '\\' || s_name || ' é日.dat' AS path, s_suppkey * 1000 + 7 AS size, ((s_suppkey * 1000 + 7 + 4095) // 4096) * 4096 AS alloc, 1000000000 + s_suppkey AS mtime,
+  CASE WHEN s_suppkey % 2 = 0 THEN 16 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 128 ELSE 0 END AS flags FROM supplier JOIN dirs ON dirs.id = 1000 + s_nationkey)"""
+
+
+def _image(spark, sf_dir) -> str:
+    """An image of a volume with regions, nations and suppliers; of every fifth supplier the size stands in an extension record, and a slot is torn. Written by the driver, as fixtures are."""
+    rows = lambda name, *columns: [tuple(r) for r in tables.read(spark, sf_dir, name).select(*columns).collect()]
+    slots = {5: image.record([image.file_name(5, ".")], 3)}
+    slots |= {100 + k: image.record([image.standard(0), image.file_name(5, "SHORT~1", 2), image.file_name(5, name)], 3) for k, name in rows("region", "r_regionkey", "r_name")}
+    slots |= {1000 + k: image.record([image.standard(0), image.file_name(100 + r, name)], 3) for k, name, r in rows("nation", "n_nationkey", "n_name", "n_regionkey")}
+    suppliers = rows("supplier", "s_suppkey", "s_name", "s_nationkey")
+    spare = 2001 + max(k for k, _, _ in suppliers)
+    for k, name, nation in suppliers:
+        data, links = image.far_attribute(0x80, b"", k * 1000 + 7), 2 if k % 3 == 0 else 1
+        own = [image.standard(1_000_000_000 + k, 2 if k % 2 == 0 else 0), image.file_name(1000 + nation, f"{name} é日.dat")]
+        if k % 5 == 0:
+            slots[spare + k] = image.record([data], base=2000 + k | 1 << 48)
+            own.append(image.attribute(0x20, b"\0" * 8))
+        else:
+            own.append(data)
+        slots[2000 + k] = image.record(own, links=links)
+    slots[50] = slots[100][:600] + b"\xff" * 424
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}.img"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(image.volume(slots)))
+    out.close()
+    return path
+
+
+def _scanned(spark, sf_dir) -> DataFrame:
+    spark.dataSource.register(ntfs.MftDataSource)
+    return build_nodes(ntfs.entries_of(spark.read.format("mft").load(_image(spark, sf_dir)), 0, "C"))
+
+
+@register("mft_files", "WITH " + _TREE_OF_IMAGE + " SELECT id::BIGINT AS record_no, up::BIGINT AS parent_id, path, size::BIGINT AS size, alloc::BIGINT AS alloc, mtime::BIGINT AS mtime_unix, flags::INT AS flags FROM files")
+def mft_files(spark, sf_dir):
+    """Files read from the image: fix-ups, runs, names of the best namespace, times, flags and spilled sizes."""
+    return _scanned(spark, sf_dir).filter("not is_dir and record_no >= 16").select("record_no", "parent_id", "path", "size", "alloc", "mtime_unix", "flags")
+
+
+@register("mft_directories", "WITH " + _TREE_OF_IMAGE + " SELECT dirs.path, coalesce(sum(size), 0)::BIGINT AS size, count(size)::BIGINT AS files FROM dirs LEFT JOIN files ON starts_with(files.path, dirs.path || '\\') GROUP BY dirs.path")
+def mft_directories(spark, sf_dir):
+    return _scanned(spark, sf_dir).filter("is_dir and not is_root").select("path", "size", F.col("subtree_files").alias("files"))
+
+
+@register("mft_report", "WITH " + _TREE_OF_IMAGE + " SELECT 0 AS vol_ord, count(*)::BIGINT + 1 AS files, (SELECT count(*) FROM dirs)::BIGINT + 1 AS dirs FROM files")
+def mft_report(spark, sf_dir):
+    """The table's own file and the root count too."""
+    return reports.scan_report(_scanned(spark, sf_dir)).select("vol_ord", "files", "dirs")
+
+
+@register("usn_records", "SELECT event_id AS usn, 1000000 + user_id AS record, 3 AS sequence, 2000::BIGINT AS parent, CASE event_type WHEN 'signup' THEN 256 WHEN 'click' THEN 2 WHEN 'purchase' THEN 1 WHEN 'view' THEN 8192 ELSE 512 END::BIGINT AS reason, 'u' || user_id || ' ñ.dat' AS name FROM events WHERE event_id <= 2000")
+def usn_records(spark, sf_dir):
+    """The first events as raw journal batches, decoded by the reader; those that don't interest are dropped by the mask."""
+    e = tables.read(spark, sf_dir, "events").filter("event_id <= 2000").select("event_id", "user_id", "event_type").orderBy("event_id").collect()  # a fixture of bounded size
+    one = lambda r: image.journal_record(1_000_000 + r["user_id"], 3, 2000, r["event_id"], tables.REASONS.get(r["event_type"], 512), 0x20, f"u{r['user_id']} ñ.dat")
+    noise = image.journal_record(1, 1, 5, 0, changes.BASIC_INFO_CHANGE, 0x20, "noise")
+    batches = [(bytearray(image.journal_batch(9, [noise, *map(one, e[i : i + 100])])),) for i in range(0, len(e), 100)]
+    return changes.with_keys(spark.createDataFrame(batches, "batch binary").mapInArrow(ntfs.decode_batches, ntfs.USN_SCHEMA)).select("usn", "record", "sequence", "parent", "reason", "name")
+
+
 @register("size_spill", "SELECT (1000000 + doc_id)::BIGINT AS record_no, CASE WHEN doc_id % 10 = 0 THEN 7 * doc_id ELSE strlen(text) END::BIGINT AS size FROM documents")
 def size_spill(spark, sf_dir):
     """Every tenth file's size stands in two extension records, of which the first counts."""
@@ -321,10 +454,113 @@ def name_spill(spark, sf_dir):
     return spill.repair(e, sizes, names).filter("record_no >= 1000000").select("record_no", "name")
 
 
+@register("find_positions", r"""SELECT doc_id, (length(part) - 1)::INT AS line, NULL::INT AS col FROM (SELECT 0 AS doc_id, '' AS part) WHERE false
+UNION ALL SELECT doc_id, (k - 1)::INT, (strpos(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'tion') - 1)::INT FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE contains(lower(l), 'tion')""")
+def find_positions(spark, sf_dir):
+    """Each line's first hit."""
+    docs = tables.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(T.find_hits(F.col("text"), "TION")).alias("h")).groupBy("doc_id", F.col("h.line").alias("line")).agg(F.min("h.col").alias("col"))
+
+
+@register("highlight", "SELECT p_partkey, list_sort(list_concat(CASE WHEN contains(lower(p_name), 'an') THEN [strpos(lower(p_name), 'an') - 1] ELSE [] END, CASE WHEN contains(lower(p_name), 'blu') THEN [strpos(lower(p_name), 'blu') - 1] ELSE [] END))::VARCHAR AS starts FROM part WHERE length(replace(lower(p_name), 'an', '')) >= length(p_name) - 2")
+def highlight(spark, sf_dir):
+    """Where names hold a term, of those with the first one once at most."""
+    part = tables.read(spark, sf_dir, "part").filter(T.hit_count(F.col("p_name"), "an") <= 1)
+    starts = F.transform(T.highlight_ranges(F.col("p_name"), "AN blu"), lambda r: r["start"].cast("string"))
+    return part.select("p_partkey", F.concat(F.lit("["), F.array_join(starts, ", "), F.lit("]")).alias("starts"))
+
+
+_SIZE = "CASE WHEN x >= 100 THEN printf('%.0f', x) WHEN x >= 10 THEN printf('%.1f', x) ELSE printf('%.2f', x) END"
+
+
+@register("size_format", "SELECT l_orderkey, l_linenumber, CASE WHEN n < 1024 THEN n || ' B' ELSE " + _SIZE + " || ' ' || unit END AS shown FROM (SELECT *, CASE WHEN n < 1048576 THEN n / 1024.0::DOUBLE WHEN n < 1073741824 THEN n / 1048576.0::DOUBLE ELSE n / 1073741824.0::DOUBLE END AS x, CASE WHEN n < 1048576 THEN 'KB' WHEN n < 1073741824 THEN 'MB' ELSE 'GB' END AS unit FROM (SELECT l_orderkey, l_linenumber, l_partkey * l_partkey * 64 AS n FROM lineitem))")
+def size_format(spark, sf_dir):
+    n = (F.col("l_partkey").cast("long") * F.col("l_partkey") * 64).cast("long")
+    return tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.size_text(n).alias("shown"))
+
+
+@register("count_and_duration", "SELECT o_orderkey, format('{:,}', o_orderkey * 997) AS n, CASE WHEN o_orderkey < 60 THEN o_orderkey || 's' WHEN o_orderkey < 3600 THEN o_orderkey // 60 || 'm' WHEN o_orderkey < 86400 THEN o_orderkey // 3600 || 'h' ELSE o_orderkey // 86400 || 'd' END AS age FROM orders")
+def count_and_duration(spark, sf_dir):
+    key = F.col("o_orderkey").cast("long")
+    return tables.read(spark, sf_dir, "orders").select("o_orderkey", T.count_text(key * 997).alias("n"), T.duration_text(key).alias("age"))
+
+
+@register("filetimes", "SELECT o_orderkey, least(greatest((o_orderkey * 1000003 * 10000000 + 7) // 10000000 - 11644473600, 0), 4294967295)::BIGINT AS unix, ((o_orderkey * 5 + 3 * 281474976710656) % 281474976710656)::BIGINT AS record, 3 AS sequence FROM orders")
+def filetimes(spark, sf_dir):
+    key = F.col("o_orderkey").cast("long")
+    ref = key * 5 + F.lit(3 << 48)
+    return tables.read(spark, sf_dir, "orders").select("o_orderkey", T.unix_of_filetime(key * 1000003 * 10_000_000 + 7).alias("unix"), T.file_record(ref).alias("record"), T.file_sequence(ref).alias("sequence"))
+
+
+@register("line_endings", "SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text[-1] = chr(10) THEN 0 ELSE 1 END)::INT AS lines, text[-1] = chr(10) AS ends FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def line_endings(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", F.size(T.endings_of_lines(text)).alias("lines"), T.ends_with_newline(text).alias("ends"))
+
+
+@register("content_range", "SELECT doc_id, encode(text)[6:15]::VARCHAR AS part FROM documents WHERE regexp_full_match(text[1:40], '[ -~]*') AND length(text) >= 20".replace("encode(text)[6:15]::VARCHAR", "text[6:15]"))
+def content_range(spark, sf_dir):
+    docs = tables.read(spark, sf_dir, "documents").filter(F.substring("text", 1, 40).rlike(r"\A[ -~]*\z") & (F.length("text") >= 20))
+    return docs.select("doc_id", F.decode(T.read_range(F.encode("text", "UTF-8"), 5, 10), "UTF-8").alias("part"))
+
+
+@register("drives_selectable", "SELECT n_nationkey, upper(CASE WHEN n_nationkey % 3 = 0 THEN 'ntfs' WHEN n_nationkey % 3 = 1 THEN 'NTFS' ELSE 'exFAT' END) = 'NTFS' AS selectable FROM nation")
+def drives_selectable(spark, sf_dir):
+    fs = F.when(F.col("n_nationkey") % 3 == 0, "ntfs").when(F.col("n_nationkey") % 3 == 1, "NTFS").otherwise("exFAT")
+    return tables.read(spark, sf_dir, "nation").select("n_nationkey", T.drive_selectable(fs).alias("selectable"))
+
+
+@register("memory_estimate", _nodes_sql(False) + "SELECT 0 AS vol_ord, (38 * count(*) + sum(strlen(name)) + 4 * (max(node_id) + 1))::BIGINT AS bytes FROM nodes")
+def memory_estimate(spark, sf_dir):
+    return reports.memory_estimate(index(spark, sf_dir))
+
+
+@register("listing", _nodes_sql(False) + "SELECT row_number() OVER (ORDER BY is_dir DESC, name_fold, name, node_id)::BIGINT AS pos, name FROM nodes WHERE node_id <> parent_id AND parent_id = (SELECT id FROM dr WHERE name = 'ASIA')")
+def listing(spark, sf_dir):
+    found = reports.listing(index(spark, sf_dir), "C:\\ASIA")
+    return found.select(F.row_number().over(Window.orderBy(F.desc("is_dir"), "name_fold", "name", "node_id")).cast("long").alias("pos"), "name")
+
+
+@register("completion", "SELECT * FROM (VALUES ('C:\\A', 'C:\\A', 3::BIGINT), ('C:\\eu', 'C:\\EUROPE\\', 1), ('C:\\nothing', 'C:\\nothing', 0), ('C:\\ASIA\\n', 'C:\\ASIA\\NATION_', 5)) t(typed, completed, n) WHERE typed <> 'C:\\ASIA\\n' UNION ALL SELECT 'C:\\ASIA\\n', 'C:\\ASIA\\NATION_', count(*) FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' AND starts_with(lower(n_name), 'n')")
+def completion(spark, sf_dir):
+    n = index(spark, sf_dir)
+    return spark.createDataFrame([(x, *complete(n, x)) for x in ("C:\\A", "C:\\eu", "C:\\nothing", "C:\\ASIA\\n")], "typed string, completed string, n long")
+
+
+@register("registered_functions", "SELECT p_partkey, contains(p_name, 'blu') AND starts_with(lower(p_name), 'r') AS globbed, contains(p_name, '/') AS pathlike, 4294967296::BIGINT AS bytes FROM part")
+def registered_functions(spark, sf_dir):
+    T.register_functions(spark)
+    tables.read(spark, sf_dir, "part").createOrReplaceTempView("treeline_part")
+    return spark.sql("SELECT p_partkey, glob_match(p_name, 'R*blu*') AS globbed, looks_like_path(p_name) AS pathlike, parse_size('4 GB') AS bytes FROM treeline_part")
+
+
+@register("table_functions", "SELECT p_partkey, (strpos(lower(p_name), 'an') - 1)::INT AS col FROM part WHERE contains(lower(p_name), 'an')")
+def table_functions(spark, sf_dir):
+    T.register_functions(spark)
+    tables.read(spark, sf_dir, "part").createOrReplaceTempView("treeline_part")
+    return spark.sql("SELECT p_partkey, min(h.col) AS col FROM treeline_part, LATERAL find_hits(p_name, 'AN') h GROUP BY p_partkey")
+
+
+@register("text_classes", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'utf-16' WHEN 1 THEN 'binary' WHEN 2 THEN 'invalid' WHEN 3 THEN 'control' ELSE 'utf-32' END AS class FROM documents")
+def text_classes(spark, sf_dir):
+    """Contents with marks of other encodings, a zero byte, a stray byte and many controls."""
+    docs = tables.read(spark, sf_dir, "documents")
+    k, text = F.col("doc_id") % 5, F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    head = F.when(k == 0, F.unhex(F.lit("FFFE"))).when(k == 1, F.unhex(F.lit("4100"))).when(k == 2, F.unhex(F.lit("C328"))).when(k == 3, F.unhex(F.repeat(F.lit("01"), F.lit(1000)))).otherwise(F.unhex(F.lit("0000FEFF")))
+    return docs.select("doc_id", T.text_class(F.concat(head, text)).alias("class"))
+
+
+@register("search_glob_bytes", "SELECT doc_id, true AS one, doc_id % 2 = 0 AS two FROM documents")
+def search_glob_bytes(spark, sf_dir):
+    """A question mark stands for one byte, so an accented letter takes two."""
+    name = F.concat(F.lit("caf"), F.when(F.col("doc_id") % 2 == 0, "é").otherwise("e"), F.lit(".TXT"))
+    return tables.read(spark, sf_dir, "documents").select("doc_id", T.glob_matches(name, "CAF*.txt").alias("one"), T.glob_matches(name, "caf??.txt").alias("two"))
+
+
 @register("find_in_text", "SELECT doc_id, (length(lower_text) - length(replace(lower_text, 'the', ''))) // 3 AS hits FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_text FROM documents)")
 def find_in_text(spark, sf_dir):
     docs = tables.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(T.find_hits(F.col("text"), "The")).cast("long").alias("hits"))
+    return docs.select("doc_id", T.hit_count(F.col("text"), "The").cast("long").alias("hits"))
 
 
 @register("text_classify", "SELECT 'text' AS class, CASE WHEN contains(text, chr(10)) THEN 'lf' ELSE 'none' END AS ending, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
@@ -345,9 +581,6 @@ def heat_tiers(spark, sf_dir):
 
 @register("snapshot_roundtrip", _nodes_sql(False) + "SELECT count(*)::BIGINT AS n, sum(size)::BIGINT AS size, max(path) AS last FROM nodes")
 def snapshot_roundtrip(spark, sf_dir):
-    from treeline.functions.storage import shared_dir
-    import uuid
-
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshot.save(index(spark, sf_dir), tables.volumes(spark).filter("drive = 'C'"), path)
     return snapshot.load(spark, path)[0].agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("path").alias("last"))

@@ -1,6 +1,7 @@
 """Versioned snapshots: a Parquet folder for each epoch, and a manifest that names the published one.
 
-The manifest is written beside its place and renamed over it after the data, so readers see the old index or the new one.
+The manifest is written beside its place and renamed over it, in one step, after the data, so readers see the old index or
+the new one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def checksum(nodes: DataFrame) -> int:
     return int(nodes.agg(F.coalesce(F.sum(F.xxhash64(*plain).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()[0]) % 2**63
 
 
-def save(nodes: DataFrame, volumes: DataFrame, path: str) -> dict:
+def save(nodes: DataFrame, volumes: DataFrame, path: str, excluded: list[str] = ()) -> dict:
+    """Write the next epoch and publish it in one step; epochs before the last one, which readers may still have open, are removed."""
     spark = nodes.sparkSession
     try:
         epoch = peek(spark, path)["epoch"] + 1
@@ -43,14 +45,22 @@ def save(nodes: DataFrame, volumes: DataFrame, path: str) -> dict:
     nodes.withColumn("epoch", F.lit(epoch).cast("long")).write.parquet(f"{data}/nodes")
     volumes.write.parquet(f"{data}/volumes")
     written = spark.read.parquet(f"{data}/nodes")
-    manifest = {"format": FORMAT, "epoch": epoch, "data": data, "written_at": int(time.time()), "nodes": written.count(), "drives": sorted(r["drive"] for r in volumes.select("drive").collect()), "checksum": checksum(written)}
+    manifest = {"format": FORMAT, "epoch": epoch, "data": data, "written_at": int(time.time()), "nodes": written.count(), "drives": sorted(r["drive"] for r in volumes.select("drive").collect()), "checksum": checksum(written), "excluded": list(excluded)}
     fs, temporary = _fs(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
     _, final = _fs(spark, f"{path}/manifest.json")
-    fs.delete(final, False)
-    fs.rename(temporary, final)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    replace = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
+    qualified = fs.makeQualified(final)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), qualified, replace)  # raises if it fails
+    _, root = _fs(spark, path)
+    for old in fs.listStatus(root):
+        name = old.getPath().getName()
+        if name.startswith("epoch=") and int(name[6:].split("-")[0]) < epoch - 1:
+            fs.delete(old.getPath(), True)
     return manifest
 
 
@@ -63,7 +73,7 @@ def peek(spark: SparkSession, path: str) -> dict:
         raise BadSnapshot(path) from e
     if manifest.get("format") != FORMAT:
         raise BadSnapshot(f"format {manifest.get('format')}")
-    return manifest
+    return {"excluded": []} | manifest
 
 
 def load(spark: SparkSession, path: str, verify: bool = True) -> tuple[DataFrame, DataFrame, dict]:
