@@ -38,9 +38,10 @@ def glob_matches(name: Column, pattern: str, case_sensitive: bool = False) -> Co
     """The whole name matches: `*` any bytes, `?` one byte. Names are seen as one character for each byte."""
     if not case_sensitive:
         name, pattern = fold(name), fold_text(pattern)
+    longest = max(re.split(r"[*?]", pattern), key=len)  # names without it need no closer look
     view = pattern.encode().decode("latin-1")
     rx = "".join(".*" if c == "*" else "." if c == "?" else re.sub(r"([\\.^$|()\[\]{}+])", r"\\\1", c) for c in view)
-    return F.decode(F.encode(name, "UTF-8"), "ISO-8859-1").rlike(f"(?s)^{rx}\\z")
+    return name.contains(longest) & F.decode(F.encode(name, "UTF-8"), "ISO-8859-1").rlike(f"(?s)^{rx}\\z")
 
 
 def looks_like_path(text: str) -> bool:

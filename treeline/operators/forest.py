@@ -75,7 +75,7 @@ def under(excluded: list[str], drive: Column, key: Column) -> Column:
 
 def build_nodes(entries: DataFrame, excluded: list[str] = (), epoch: int = 0) -> DataFrame:
     """The node table of entries. excluded: paths of directories whose bytes don't count toward others'. Of directories that hold each other the one with the smallest id hangs at the root (ORPHAN). Deleted entries stay and count nothing."""
-    e = with_parents(entries)
+    e = saved(with_parents(entries), "entries")  # read several times: the source only once
     chains = lambda e: closure(e.filter("is_dir").select("node_id", "parent_id", "name"))
     above, cycles = chains(e)
     if cycles is not None:
@@ -83,36 +83,34 @@ def build_nodes(entries: DataFrame, excluded: list[str] = (), epoch: int = 0) ->
         cut = F.col("first").isNotNull()
         e = e.withColumns({"parent_id": F.when(cut, node_id(F.col("vol_ord"), F.lit(ROOT_RECORD))).otherwise(F.col("parent_id")), "flags": F.when(cut, F.col("flags").bitwiseOR(F.lit(ORPHAN))).otherwise(F.col("flags"))}).drop("first")
         above, _ = chains(e)
-    above = above.withColumn("up_path", _joined("names"))
-    key = fold(F.array_join(F.reverse("names"), "\n"))
+    # What files take from their directory is made once for each directory.
+    below_root = F.slice(F.reverse("names"), 2, F.greatest(F.size("names") - 1, F.lit(0)))
     above = above.join(e.filter("is_dir").select(F.col("node_id").alias("id"), "drive"), "id")
-    above = saved(above.withColumn("under_excluded", under(list(excluded), F.col("drive"), key)).drop("drive"), "directories")
+    above = above.select("id", "ancestors", "drive", _joined("names").alias("up_names"), F.concat("drive", F.lit(":\\"), F.array_join(below_root, "\\")).alias("up_path")).withColumn("up_fold", fold(F.col("up_names")))
+    above = saved(above.withColumn("under_excluded", under(list(excluded), F.col("drive"), F.col("up_fold"))).drop("drive"), "directories")
 
     files = e.filter(~F.col("is_dir") & ~has(F.col("flags"), DELETED))
     own = files.groupBy(F.col("parent_id").alias("id")).agg(F.sum("own_size").alias("size"), F.sum("own_alloc").alias("alloc"), F.count(F.lit(1)).alias("files"))
-    spread = above.join(own, "id").select(F.explode("ancestors").alias("id"), "size", "alloc", "files", "under_excluded")
+    spread = above.select("id", "ancestors", "under_excluded").join(own, "id").select(F.explode("ancestors").alias("id"), "size", "alloc", "files", "under_excluded")
     out = F.col("under_excluded")
     total = spread.groupBy("id").agg(*(F.sum(c).alias(f"t_{c}") for c in ("size", "alloc", "files")), *(F.sum(F.when(out, F.col(c)).otherwise(0)).alias(f"x_{c}") for c in ("size", "alloc", "files")))
+    counted = lambda c: F.when(out, F.coalesce(f"t_{c}", F.lit(0))).otherwise(F.coalesce(F.col(f"t_{c}") - F.col(f"x_{c}"), F.lit(0))).alias(f"sum_{c}")
+    above = above.join(total, "id", "left").select(F.col("id").alias("dir_id"), "ancestors", "up_names", "up_path", "up_fold", "under_excluded", *map(counted, ("size", "alloc", "files")))
 
-    joined = e.join(above.withColumnRenamed("id", "dir_id"), F.when(F.col("is_dir"), F.col("node_id")).otherwise(F.col("parent_id")) == F.col("dir_id"))
-    joined = joined.join(total.withColumnRenamed("id", "total_id"), (F.col("node_id") == F.col("total_id")), "left")
-    counted = lambda c: F.when(F.col("under_excluded"), F.coalesce(f"t_{c}", F.lit(0))).otherwise(F.coalesce(F.col(f"t_{c}") - F.col(f"x_{c}"), F.lit(0)))
     is_dir = F.col("is_dir")
-    chain = F.when(is_dir, F.col("ancestors")).otherwise(F.concat(F.array("node_id"), "ancestors"))
-    names = F.when(is_dir, F.col("names")).otherwise(F.concat(F.array("name"), "names"))
+    d = e.join(above, F.when(is_dir, F.col("node_id")).otherwise(F.col("parent_id")) == F.col("dir_id"))
+    mine = lambda of_dir, of_file: F.when(is_dir, of_dir).otherwise(of_file)
+    name_fold = fold(F.col("name"))
     flags = F.when(F.col("under_excluded"), F.col("flags").bitwiseOR(F.lit(EXCLUDED))).otherwise(F.col("flags").bitwiseAND(F.lit(~EXCLUDED)))
-    d = joined.select(
-        "node_id", "vol_ord", "drive", "record_no", "sequence", "parent_id", "name", fold(F.col("name")).alias("name_fold"), flags.alias("flags"), "own_size", "own_alloc",
-        F.when(is_dir, counted("size")).otherwise(F.col("own_size")).alias("size"), F.when(is_dir, counted("alloc")).otherwise(F.col("own_alloc")).alias("alloc"),
-        F.when(is_dir, counted("files")).otherwise(F.lit(0)).alias("subtree_files"), "mtime_unix", chain.alias("ancestors"), names.alias("names"), is_dir.alias("is_dir"),
+    d = d.select(
+        "node_id", "vol_ord", "drive", "record_no", "sequence", "parent_id", "name", name_fold.alias("name_fold"), flags.alias("flags"), "own_size", "own_alloc",
+        mine(F.col("sum_size"), F.col("own_size")).alias("size"), mine(F.col("sum_alloc"), F.col("own_alloc")).alias("alloc"), mine(F.col("sum_files"), F.lit(0)).alias("subtree_files"), "mtime_unix",
+        mine(F.col("ancestors"), F.concat(F.array("node_id"), "ancestors")).alias("ancestors"), "is_dir", (F.size("ancestors") - mine(F.lit(1), F.lit(0))).alias("depth"),
+        mine(F.col("up_path"), F.concat("up_path", F.when(F.size("ancestors") > 1, "\\").otherwise(""), "name")).alias("path"), mine(F.col("up_names"), F.concat("up_names", F.lit("\n"), "name")).alias("path_names"),
+        F.lit(epoch).cast("long").alias("epoch"), mine(F.col("up_fold"), F.concat("up_fold", F.lit("\n"), name_fold)).alias("path_fold"),
     )
-    below_root = F.slice(F.reverse("names"), 2, F.greatest(F.size("names") - 1, F.lit(0)))
-    path = F.concat("drive", F.lit(":\\"), F.array_join(below_root, "\\"))
-    d = d.withColumns({"depth": F.size("ancestors") - 1, "path": path, "path_names": _joined("names"), "epoch": F.lit(epoch).cast("long")})
-    return d.withColumns({
-        "path_fold": fold(F.col("path_names")), "is_excluded": has(F.col("flags"), EXCLUDED), "is_metadata": has(F.col("flags"), METADATA), "is_deleted": has(F.col("flags"), DELETED),
-        "is_hard_link": has(F.col("flags"), HARD_LINK), "is_orphan": has(F.col("flags"), ORPHAN), "is_root": F.col("parent_id") == F.col("node_id"),
-    }).drop("names")
+    bits = {"is_excluded": EXCLUDED, "is_metadata": METADATA, "is_deleted": DELETED, "is_hard_link": HARD_LINK, "is_orphan": ORPHAN}
+    return d.withColumns({c: has(F.col("flags"), bit) for c, bit in bits.items()} | {"is_root": F.col("parent_id") == F.col("node_id")})
 
 
 def _joined(names: str) -> Column:

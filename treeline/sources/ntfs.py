@@ -208,7 +208,7 @@ class MftReader(DataSourceReader):
         runs = next((a.runs for a in attributes(own) if a.kind == DATA and not a.name), None)
         if runs is None:
             raise Corrupt("the file table has no data")
-        step = CHUNK // math.lcm(boot.record, 1) * boot.record
+        step = max(1, CHUNK // math.lcm(boot.record, boot.cluster)) * math.lcm(boot.record, boot.cluster)  # whole records and clusters
         out, virtual = [], 0
         for place, n in parse_runs(runs):
             if place is not None and virtual % boot.record == 0:
@@ -218,7 +218,12 @@ class MftReader(DataSourceReader):
         return out
 
     def read(self, partition: Extent):
-        names = [x.split()[0] for x in MFT_SCHEMA.split(", ")]
+        """Arrow batches, one for each partition: a partition is CHUNK bytes of records at most."""
+        import pyarrow as pa
+
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        fields = [x.split() for x in MFT_SCHEMA.split(", ")]
+        rows = []
         with self._open() as file:
             boot = self._boot(file)
             file.seek(partition.begin)
@@ -229,7 +234,9 @@ class MftReader(DataSourceReader):
             except (Corrupt, struct.error):
                 continue
             if row:
-                yield tuple(row.get(c) for c in names)
+                rows.append(row)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in fields], names=[c for c, _ in fields])
 
 
 class MftDataSource(DataSource):
