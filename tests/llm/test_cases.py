@@ -76,6 +76,18 @@ def test_trie_finds_the_same_in_any_order(spark):
     assert once == pytest.approx(again, abs=1e-9)
 
 
+def test_a_frequent_word_is_split_over_shards(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    score = lambda spec: {r["doc_id"]: r["score"] for r in op2_trie.score_documents(docs, spec).collect()}
+    whole = op2_trie.train(docs)
+    monkeypatch.setattr(op2_trie, "SHARD_TOKENS", 60)
+    split = op2_trie.train(docs)
+    n = sum(p[0] for p in split["parts"]) + 1
+    words = [int(c) // n for c in split["cuts"]]
+    assert len(whole["shards"]) == 1 and max(map(words.count, words)) > 3 and words.count(n - 1) > 1
+    assert score(split) == pytest.approx(score(whole), abs=1e-9)
+
+
 def exact_components(texts, n):
     sets = {d: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for d, w in texts.items()}
     root = {d: d for d in sets}

@@ -8,8 +8,10 @@ sequence (the pointers), and a query looks a child up as the successor of base +
 Probabilities and back-off weights are quantised to 16 bits of a log scale.
 
 Scale: the corpus is read twice to count and once to score. Counts are combined in each task and moved as sorted,
-compressed blocks; a shard holds the words v of a range that covers about SHARD_TOKENS tokens, so shards grow in number,
-not in size, except for a single word more frequent than that. All counts cover the whole corpus. Scoring is a narrow map.
+compressed blocks; a shard holds the words v of a range that covers about SHARD_TOKENS tokens, and a word more frequent
+than that is split by ranges of its successors w, so shards grow in number, not in size. Nothing that a shard keeps needs
+another's counts: level three holds c / PRIOR3 + p2, and the count of its context u v comes, at scoring, with the node of
+u v, which the token before has looked up. All counts cover the whole corpus. Scoring is a narrow map.
 
 Defined cases: null text is empty and scores its end token only; words that training did not hold get the unigram's
 probability of an unseen word; without training rows N and V are 0 and each token's probability is 1; rows are scored one
@@ -35,6 +37,8 @@ END = _U(0x5851F42D4C957F2D)
 PRIOR2, PRIOR3 = 1000.0, 60.0
 #: Tokens whose n-grams a shard holds, about; entries of a part of the vocabulary; bytes of text counted at once, and scored at once.
 SHARD_TOKENS, PART_WORDS, BLOCK, SCORED = 2_000_000, 2_000_000, 6 << 20, 4 << 20
+#: What level three keeps, c / PRIOR3 + p2, is below 10 to this power.
+TOP = 14
 #: Quantised: 65535 steps of this many decades from 0 down.
 STEP_SIZE = 16 / 65535
 
@@ -198,13 +202,14 @@ def _count_trigrams(parts: list[tuple], cuts: np.ndarray):
                 h, first = _tokens(batch)
                 w = words.ids(h)
                 v, u = _contexts(w, first, n)
-                shard = np.searchsorted(cuts, v, "right") - 1
+                pairs = v.astype(_U) * _U(n + 1) + w.astype(_U)
+                shard = np.searchsorted(cuts, pairs, "right") - 1
                 order = np.argsort(shard.astype(np.int16 if len(cuts) < 32000 else np.int64), kind="stable")
                 bounds = np.searchsorted(shard[order], np.arange(len(cuts) + 1))
                 for s in range(len(cuts)):
                     rows = order[bounds[s] : bounds[s + 1]]
                     if len(rows):
-                        pair = (v[rows] - cuts[s]).astype(_U) * _U(n + 1) + w[rows].astype(_U)
+                        pair = pairs[rows] - cuts[s]
                         key = (pair * _U(n + 1) + u[rows].astype(_U))[:, None] if _fits(cuts, s, n) else np.stack((pair, u[rows].astype(_U)), axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(*_sorted_counts(key, None))], pa.binary())], names=["shard", "block"])
 
@@ -213,8 +218,8 @@ def _count_trigrams(parts: list[tuple], cuts: np.ndarray):
 
 def _fits(cuts: np.ndarray, s: int, n: int) -> bool:
     """Whether a shard's keys are single numbers."""
-    width = (int(cuts[s + 1]) if s + 1 < len(cuts) else n + 1) - int(cuts[s])
-    return width * (n + 1) ** 2 < 2**63
+    width = (int(cuts[s + 1]) if s + 1 < len(cuts) else (n + 1) ** 2) - int(cuts[s])
+    return width * (n + 1) < 2**63
 
 
 def _write_shards(parts: list[tuple], cuts: np.ndarray, n_tokens: int, n_docs: int, folder: str):
@@ -222,29 +227,22 @@ def _write_shards(parts: list[tuple], cuts: np.ndarray, n_tokens: int, n_docs: i
         words = _vocabulary(parts)
         n = words.n
         keys, c = _sorted_counts(np.concatenate([k for k, _ in pieces]), np.concatenate([x for _, x in pieces]))
+        pieces.clear()
         if keys.shape[1] == 1:
             pair, u = keys[:, 0] // _U(n + 1), (keys[:, 0] % _U(n + 1)).astype(np.int64)
         else:
             pair, u = keys[:, 0], keys[:, 1].astype(np.int64)
         del keys
-        new = np.ones(len(pair), dtype=bool)
-        new[1:] = pair[1:] != pair[:-1]
-        at = np.flatnonzero(new)
-        node = np.cumsum(new) - 1
-        pairs = pair[at]
+        at, node = _runs(pair)
+        pairs = pair[at] + cuts[s]
+        del pair
         c2 = np.add.reduceat(c, at)
         v, w = (pairs // _U(n + 1)).astype(np.int64), (pairs % _U(n + 1)).astype(np.int64)
-        cv = np.where(v + cuts[s] == n, n_docs, words.count(np.where(v + cuts[s] == n, -1, v + cuts[s])))
+        cv = np.where(v == n, n_docs, words.count(np.where(v == n, -1, v)))
         p2 = (c2 + PRIOR2 * (words.count(w) + 1) / (n_tokens + n + 1)) / (cv + PRIOR2)
-        # how often u v came: the sums of trigrams over w
-        uv = u.astype(_U) * _U(int(v[-1]) + 1) + v[node].astype(_U)
-        order = np.argsort(uv, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], uv[order][1:] != uv[order][:-1])))
-        cuv = np.empty(len(uv), dtype=np.int64)
-        cuv[order] = np.repeat(np.add.reduceat(c[order], starts), np.diff(np.append(starts, len(uv))))
-        p3 = (c + PRIOR3 * p2[node]) / (cuv + PRIOR3)
-        arrays = _level("two", v, w, int(v[-1]) + 1) | _level("three", node, u, len(pairs))
-        arrays |= {"p2": _quantised(np.log10(p2)), "b2": _quantised(np.log10(PRIOR3 / (c2 + PRIOR3))), "p3": _quantised(np.log10(p3))}
+        arrays = _level("two", v - v[0], w, int(v[-1] - v[0]) + 1) | _level("three", node, u, len(pairs))
+        arrays |= {"first": v[:1], "p2": _quantised(np.log10(p2)), "b2": _quantised(np.log10(PRIOR3 / (c2 + PRIOR3)))}
+        arrays["q3"] = _quantised(np.log10(c / PRIOR3 + p2[node]) - TOP)
         path = f"{folder}/shard-{s}.bin"
         write_file(path, bundle(arrays))
         return path
@@ -309,7 +307,7 @@ class Model:
         self.shards = {}
         for s, path in spec["shards"]:
             f = load(local_file(path))
-            self.shards[s] = (Level(f, "two"), Level(f, "three"), f["p2"], f["b2"], f["p3"])
+            self.shards[s] = (int(f["first"][0]), Level(f, "two"), Level(f, "three"), f["p2"], f["b2"], f["q3"])
 
     def score(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its training count, and the log10 probabilities of the base and of the model."""
@@ -331,13 +329,14 @@ class Model:
         # Lookups go through each level in its order, once for each distinct context.
         order = np.flatnonzero((v >= 0) & (w >= 0))
         order = order[np.argsort(key[order])]
-        bounds = np.searchsorted(v[order], np.append(self.cuts, n + 1))
-        for s, (two, three, p2, b2, p3) in self.shards.items():
+        bounds = np.append(np.searchsorted(v[order].astype(_U) * _U(n + 1) + w[order].astype(_U), self.cuts), len(order))
+        third = np.zeros(len(w))
+        for s, (start, two, three, p2, b2, q3) in self.shards.items():
             rows = order[bounds[s] : bounds[s + 1]]
             if not len(rows):
                 continue
             begin, pair = _runs(key[rows])
-            contexts = v[rows[begin]] - self.cuts[s]
+            contexts = v[rows[begin]] - start
             some, which = _runs(contexts)
             node = two.find(contexts[some], which, w[rows[begin]])
             known = node[pair] >= 0
@@ -348,14 +347,15 @@ class Model:
             begin, which = _runs(node)
             node = three.find(node[begin], which, u[rows])
             rows, node = rows[node >= 0], node[node >= 0]
-            score[rows] = p3[node] * -STEP_SIZE
+            third[rows] = TOP + q3[node] * -STEP_SIZE
             found3[rows] = True
         cv = np.where(v == n, self.n_docs, self.words.count(np.where(v == n, -1, v)))
         score += np.where(found2, 0.0, np.log10(PRIOR2 / (cv + PRIOR2)))
+        # p3 = (c / PRIOR3 + p2) * PRIOR3 / (count of its context + PRIOR3); without a trigram its first term is p2 alone
         outer = np.zeros(len(w))
         outer[1:] = np.where(found2[:-1], after[:-1], 0.0)
         outer[first[:-1]] = math.log10(PRIOR3 / (self.n_docs + PRIOR3)) if self.n_docs else 0.0
-        score += np.where(found3, 0.0, outer)
+        score = np.where(found3, third, score) + outer
         return c, base, score
 
 
@@ -392,29 +392,54 @@ def train(docs: DataFrame) -> dict:
     parts = words.withColumn("part", F.shiftrightunsigned("h", 64 - bits)).repartition(1 << bits, "part")
     rows = in_python(parts, _write_words(folder), "part long, n long, first long, total long, path string").collect()
     rows = sorted(rows, key=lambda r: r["part"])
-    spec = {"folder": folder, "parts": [(r["n"], r["first"] % 2**64, r["path"]) for r in rows], "tokens": total["c"], "docs": total["d"], "shards": [], "cuts": np.zeros(1, np.int64)}
+    spec = {"folder": folder, "parts": [(r["n"], r["first"] % 2**64, r["path"]) for r in rows], "tokens": total["c"], "docs": total["d"], "shards": [], "cuts": np.zeros(1, _U)}
     if not total["n"]:
         return spec
-    spec["cuts"] = cuts = _cuts(spec["parts"], words, rows, total)
+    spec["cuts"] = cuts = _cuts(words, total)
     counted = in_python(texts, _count_trigrams(spec["parts"], cuts), "shard int, block binary").repartition(len(cuts), "shard").sortWithinPartitions("shard")
     spec["shards"] = [(r["shard"], r["path"]) for r in in_python(counted, _write_shards(spec["parts"], cuts, total["c"], total["d"], folder), "shard int, path string").collect()]
     return spec
 
 
-def _cuts(parts: list[tuple], words: DataFrame, rows: list, total) -> np.ndarray:
-    """First ids of the shards: ranges of words that cover about SHARD_TOKENS tokens each. Found from sums over ranges of hashes, a fixed number of them for each shard."""
+def _cuts(words: DataFrame, total) -> np.ndarray:
+    """First pairs v * (n + 1) + w of the shards: ranges of words v that cover about SHARD_TOKENS tokens each, and of a word with more, ranges of its successors w. Found from sums over ranges of hashes, a fixed number of them for each shard, and from the words with more, of which there are fewer than shards."""
+    n = total["n"]
+    if n >= 2**32 - 1:
+        raise ValueError("pairs of so many words have no numbers of 64 bits")
     shards = max(1, math.ceil(total["c"] / SHARD_TOKENS))
     fine = min(22, max(8, (64 * shards - 1).bit_length()))
-    sums = {r["k"] % 2**fine: (r["n"], r["c"]) for r in words.groupBy(F.shiftrightunsigned("h", 64 - fine).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
-    cuts, at, tokens = [0], 0, 0
+    bucket = F.shiftrightunsigned("h", 64 - fine)
+    sums = {r["k"] % 2**fine: (r["n"], r["c"]) for r in words.groupBy(bucket.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
+    starts = np.concatenate(([0], np.cumsum([sums.get(k, (0, 0))[0] for k in range(1 << fine)])))
+    tokens = np.concatenate(([0], np.cumsum([sums.get(k, (0, 0))[1] for k in range(1 << fine)])))
+    much = words.filter(F.col("c") > SHARD_TOKENS).select(bucket.alias("k"))
+    near = words.withColumn("k", bucket).join(F.broadcast(much.distinct()), "k").select("k", "h", "c").collect()
+    hot: dict[int, list] = {}
+    for k in {r["k"] % 2**fine for r in near}:
+        for place, (_, c) in enumerate(sorted((r["h"] % 2**64, r["c"]) for r in near if r["k"] % 2**fine == k)):
+            if c > SHARD_TOKENS:
+                hot.setdefault(k, []).append((int(starts[k]) + place, c))
+
+    def pieces(v: int, c: int) -> list[tuple[int, int]]:
+        """First pairs of a word with c tokens after it: successors are about as frequent there as elsewhere."""
+        many = math.ceil(c / SHARD_TOKENS)
+        places = np.searchsorted(tokens, [tokens[-1] * j / many for j in range(1, many)])
+        return [(v, 0), *((v, int(w)) for w in np.unique(starts[places]) if 0 < w <= n)]
+
+    cuts, held = [(0, 0)], 0
     for k in range(1 << fine):
-        n, c = sums.get(k, (0, 0))
-        if tokens and tokens + c > SHARD_TOKENS:
-            cuts.append(at)
-            tokens = 0
-        at += n
-        tokens += c
-    return np.array(cuts, dtype=np.int64)
+        count, c = sums.get(k, (0, 0))
+        rest = c - sum(x for _, x in hot.get(k, ()))
+        if held and held + rest > SHARD_TOKENS:
+            cuts.append((int(starts[k]), 0))
+            held = 0
+        held += rest
+        for v, x in hot.get(k, ()):
+            cuts += [*pieces(v, x), (v + 1, 0)]
+            held = rest
+    if total["d"] > SHARD_TOKENS:  # before each text stands the same context
+        cuts += pieces(n, total["d"])
+    return np.array(sorted({v * (n + 1) + w for v, w in cuts if v <= n}), dtype=_U)
 
 
 def score_documents(docs: DataFrame, spec: dict) -> DataFrame:
