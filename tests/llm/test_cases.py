@@ -246,6 +246,18 @@ def test_chat_keeps_long_texts_and_odd_rows(spark):
     assert op8_chat.formatted(op8_chat.canonical(op8_chat.as_records(rows.limit(0)))).count() == 0
 
 
+def test_every_vector_can_be_reached():
+    rng = np.random.default_rng(4)
+    for n in (150, 2000):  # one vector near the centre covers all others
+        x = rng.normal(0, 1, (n, 48))
+        x = np.concatenate((np.zeros((1, 48)) + 1e-3, x / np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+        g = op10_graph.Graph.build(x)
+        reached, now = {g.start}, [g.start]
+        while now:
+            now = [int(j) for i in now for j in g.edges[i] if j >= 0 and j not in reached and not reached.add(int(j))]
+        assert len(reached) == len(x)
+
+
 def test_neighbours_over_several_shards_of_real_size(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(0, 1, (200, 16))

@@ -2,7 +2,8 @@
 
 Vectors are dealt to shards by a hash of their id. A shard's graph grows in batches: a greedy beam search from the
 medoid over the graph so far proposes neighbours, relaxed distance pruning (a candidate is dropped if a kept neighbour
-is nearer to it by the factor alpha) keeps near but diverse edges, and reverse edges are added and pruned alike. Graphs
+is nearer to it by the factor alpha) keeps near but diverse edges, and reverse edges are added and pruned alike; what no
+path from the medoid reaches then gets an edge from the nearest node with room for it. Graphs
 are files in the shared folder; a query runs a beam search in every shard, and the shards' finds are ranked together by
 exact distances in double precision. Equal vectors of a shard are one node that lists its ids: copies would cover one
 another when edges are pruned, or fill all of them, and so lose each other and the rest.
@@ -143,8 +144,34 @@ class Graph:
             g.insert(order[at : at + size])
             at += size
             size = min(2 * size, BATCH)
+        g.connect()
         return g
 
+    def connect(self) -> None:
+        """Give each node that no path from the start reaches an edge from the nearest found one that has room for it, widening the edges where none has."""
+        reached = np.zeros(len(self.x), dtype=bool)
+
+        def spread(now: np.ndarray) -> None:
+            while len(now):
+                reached[now] = True
+                now = np.unique(self.edges[now])
+                now = now[now >= 0]
+                now = now[~reached[now]]
+
+        spread(np.array([self.start]))
+        while len(missing := np.flatnonzero(~reached)[:BATCH]):
+            found, _ = self.search(self.x[missing], min(BUILD_BEAM, len(self.x)))
+            for node, near in zip(missing, found):
+                if not reached[node]:
+                    near = near[near >= 0]
+                    room = (self.edges[near] < 0).any(axis=1)
+                    if not room.any():
+                        self.edges = np.concatenate((self.edges, np.full((len(self.x), 1), -1, dtype=np.int32)), axis=1)
+                        room[:] = True
+                    at = near[room.argmax()]
+                    self.edges[at, (self.edges[at] < 0).argmax()] = node
+                    spread(np.array([node]))
+
 
 def usable(embedding: Column) -> Column:
     sound = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
