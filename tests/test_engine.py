@@ -222,6 +222,15 @@ def test_image_to_nodes(spark, tmp_path):
     assert got["C:\\directory"] == (5, True)
 
 
+def test_journal_info_and_attributes():
+    info = ntfs.parse_journal_info(struct.pack("<Qqqqqqq", 9, 100, 200, 0, 0, 0, 0))
+    assert info.can_resume_from(100) and info.can_resume_from(200) and not info.can_resume_from(99) and not info.can_resume_from(201)
+    with pytest.raises(ntfs.Corrupt):
+        ntfs.parse_journal_info(b"short")
+    far = next(ntfs.attributes(image.record([image.far_attribute(0x80, b"", 5000)])))
+    assert (far.is_unnamed, far.is_first_fragment, far.is_sparse_or_compressed, far.size, far.allocated) == (True, True, False, 5000, 8192)
+
+
 def test_journal_batch(spark):
     name = "x.txt".encode("utf-16-le")
     one = struct.pack("<IHHQQqqIIIIHH", 72, 2, 0, 7 | 3 << 48, 5 | 1 << 48, 40, 0, 0x100, 0, 0, 0x20, len(name), 60) + name

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.functions.text import count_text, size_text, time_text
 from treeline.operators.search import lookup, result_rows, scope
 
 LIVE = "not is_deleted"
@@ -77,6 +78,13 @@ def scan_report(nodes: DataFrame) -> DataFrame:
     return live.groupBy("vol_ord").agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if(F.col("is_dir")).alias("dirs"), file("own_size").alias("size"), file("own_alloc").alias("alloc"))
 
 
+def rendered(rows: DataFrame, own: bool = False) -> DataFrame:
+    """Result rows as lines of text: size, time (or own bytes and files, for directories by size), and the path, of directories with a separator."""
+    shown = F.concat("path", F.when(F.col("is_dir") & ~F.col("path").endswith("\\"), "\\").otherwise(""))
+    between = [F.lpad(size_text(F.col("own")), 10, " "), F.lpad(count_text(F.col("files")), 9, " ")] if own else [time_text(F.col("mtime"))]
+    return rows.select(F.concat_ws("  ", F.lpad(size_text(F.col("size")), 10, " "), *between, shown).alias("line"))
+
+
 def share_of_largest(rows: DataFrame) -> DataFrame:
     """Tenths of the largest size, for each row of a page."""
     most = F.max("size").over(Window.partitionBy())

@@ -12,7 +12,7 @@ from treeline.functions import text as T
 from treeline.functions.storage import saved, shared_dir
 from treeline.operators import changes, dupes, reports, spill
 from treeline.operators.forest import DELETED, build_nodes, has
-from treeline.operators.search import SearchArgs, complete, lookup, ordering, page, resolve
+from treeline.operators.search import SearchArgs, complete, lookup, ordering, page, resolve, result_rows
 from treeline.sources import image, ntfs, snapshot, tables
 from treeline.streaming.journal import entries_of_nodes, position_gap
 
@@ -521,6 +521,27 @@ def listing(spark, sf_dir):
     return found.select(F.row_number().over(Window.orderBy(F.desc("is_dir"), "name_fold", "name", "node_id")).cast("long").alias("pos"), "name")
 
 
+@register("rendered_rows", _nodes_sql(False) + "SELECT lpad(CASE WHEN size < 1024 THEN size || ' B' ELSE " + _SIZE.replace("x", "(size / 1024.0::DOUBLE)") + " || ' KB' END, 10, ' ') || '  ' || strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M') || '  ' || path AS line FROM nodes WHERE NOT is_dir AND size < 1048576")
+def rendered_rows(spark, sf_dir):
+    return reports.rendered(result_rows(index(spark, sf_dir).filter("not is_dir and size < 1048576")))
+
+
+@register("share_blocks", _nodes_sql(False) + "SELECT path, least(10, round(size / max(size) OVER () * 10)::INT)::INT AS blocks FROM nodes WHERE parent_id = 5 AND node_id <> 5")
+def share_blocks(spark, sf_dir):
+    """Tenths of the largest size on a page of the root's directories."""
+    return reports.share_of_largest(index(spark, sf_dir).filter("parent_id = 5 and not is_root")).select("path", "blocks")
+
+
+@register("spill_free_entries", "SELECT (1000000 + doc_id)::BIGINT AS record_no, 'D' AS drive, strlen(text)::BIGINT AS size FROM documents")
+def spill_free_entries(spark, sf_dir):
+    """A repair without spills changes nothing."""
+    e = tables.volume_d(spark, sf_dir).withColumn("name_rank", F.lit(4))
+    none = e.limit(0).select("vol_ord", F.col("record_no").alias("base"), F.lit(0).alias("arrival"))
+    sizes = none.withColumns({"size": F.lit(0).cast("long"), "alloc": F.lit(0).cast("long")})
+    names = none.withColumns({"rank": F.lit(0), "parent": F.lit(0).cast("long"), "name": F.lit("")})
+    return spill.repair(e, sizes, names).filter("record_no >= 1000000").select("record_no", "drive", F.col("own_size").alias("size"))
+
+
 @register("completion", "SELECT * FROM (VALUES ('C:\\A', 'C:\\A', 3::BIGINT), ('C:\\eu', 'C:\\EUROPE\\', 1), ('C:\\nothing', 'C:\\nothing', 0), ('C:\\ASIA\\n', 'C:\\ASIA\\NATION_', 5)) t(typed, completed, n) WHERE typed <> 'C:\\ASIA\\n' UNION ALL SELECT 'C:\\ASIA\\n', 'C:\\ASIA\\NATION_', count(*) FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' AND starts_with(lower(n_name), 'n')")
 def completion(spark, sf_dir):
     n = index(spark, sf_dir)

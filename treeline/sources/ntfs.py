@@ -92,6 +92,19 @@ class Attribute:
     size: int
     allocated: int
 
+    @property
+    def is_unnamed(self) -> bool:
+        return not self.name
+
+    @property
+    def is_first_fragment(self) -> bool:
+        """Sizes stand in the first of an attribute's fragments only."""
+        return self.first_cluster == 0
+
+    @property
+    def is_sparse_or_compressed(self) -> bool:
+        return bool(self.flags & 0x80FF)
+
 
 def attributes(b: bytes):
     """The attributes of a record up to its end mark, or to the first malformed one."""
@@ -149,7 +162,7 @@ def parse_record(b: bytes, number: int, sector: int = 512) -> dict | None:
     if not state & 1:
         return None
     attrs = list(attributes(b))
-    data = next((a for a in attrs if a.kind == DATA and not a.name and not a.first_cluster), None)
+    data = next((a for a in attrs if a.kind == DATA and a.is_unnamed and a.is_first_fragment), None)
     name = _best_name(attrs)
     if base:
         row = {"kind": "extension", "record_no": number, "base": base & 0xFFFFFFFFFFFF, "own_size": data.size if data else None, "own_alloc": data.allocated if data else None}
@@ -164,7 +177,7 @@ def parse_record(b: bytes, number: int, sector: int = 512) -> dict | None:
             for bit, flag in _DOS.items():
                 flags |= flag if dos & bit else 0
         elif a.kind == DATA:
-            flags |= (F.HAS_ADS if a.name else 0) | (F.SPARSE if a.flags & 0x80FF else 0)
+            flags |= (F.HAS_ADS if a.name else 0) | (F.SPARSE if a.is_sparse_or_compressed else 0)
         elif a.kind == REPARSE_POINT:
             flags |= F.REPARSE
     spilled = any(a.kind == ATTRIBUTE_LIST for a in attrs)
@@ -277,6 +290,23 @@ def parse_journal(b: bytes):
     return struct.unpack_from("<q", b)[0], out
 
 
+@dataclass(frozen=True)
+class JournalInfo:
+    journal_id: int
+    first_usn: int
+    next_usn: int
+
+    def can_resume_from(self, usn: int) -> bool:
+        return can_resume(usn, self.first_usn, self.next_usn)
+
+
+def parse_journal_info(b: bytes) -> JournalInfo:
+    """What a volume tells about its journal: its id, its first record and the next to come."""
+    if len(b) < 24:
+        raise Corrupt("journal info")
+    return JournalInfo(*struct.unpack_from("<Qqq", b))
+
+
 def can_resume(usn: int, first: int, next_: int) -> bool:
     """Whether a journal that holds [first, next_] still has what follows usn."""
     return first <= usn <= next_
