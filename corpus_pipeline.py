@@ -1,4 +1,9 @@
-"""The training-data pipeline: documents, stage by stage, to token ids' digests."""
+"""The training-data pipeline: documents, stage by stage, to token ids' digests.
+
+Defined cases, in every stage: rows are judged one by one, so repeated rows and repeated or null ids go by their own text;
+columns beyond those of documents are carried along, whatever their names; an empty table gives an empty result. Ties are
+decided by the operators' own rules, the same at every run.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,27 @@ from treeline.llm.op9_language import keep_identified
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; the model learns from the rows' own lang."""
+    """Documents whose language is found; the model learns from the rows' own lang. Null and wordless texts go; with no lang at all nothing can be learned, and all go."""
     return keep_identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null texts are empty and go; a null lang or source is a group of its own."""
     return keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, similarity 0.8."""
+    """One document of each group of near copies: five words a shingle, similarity 0.8. The smallest id stays, with all its rows; rows with a null id stay; empty texts are near to nothing."""
     return drop_near_duplicates(docs, n=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the sources' targets; one may come twice."""
+    """Documents drawn to the sources' targets; one may come twice. A null source is a source, the last; texts without words are never drawn."""
     return mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text, for each row."""
+    """Number of tokens and digests of ids and decoded text, for each row; a null text counts as the empty one."""
     return encode_documents(docs)
 
 
