@@ -79,11 +79,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: the lineage is cut, lost executors don't matter, and the planner knows its size."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+_TASKS_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def saved(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: the lineage is cut, lost executors don't matter, and the planner knows its size.
+
+    small: few rows come out, so partitions are merged up to the advised size instead of one for each core, which spares
+    tiny tasks and files.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(_TASKS_FIRST)
+    if small:
+        spark.conf.set(_TASKS_FIRST, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TASKS_FIRST, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out
 

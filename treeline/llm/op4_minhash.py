@@ -150,10 +150,10 @@ def _links_of_centres(state: DataFrame, texts: DataFrame, sets: DataFrame, perce
         pairs = pairs.join(texts.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")), x)
     pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    likely = saved(pairs.filter(agree >= int((percent / 100 - SLACK) * HASHES)).select("a", "b", "rep_a", "rep_b"), "likely")
+    likely = saved(pairs.filter(agree >= int((percent / 100 - SLACK) * HASHES)).select("a", "b", "rep_a", "rep_b"), "likely", small=True)
     full = likely.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("digest").alias("b"), F.col("s").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    links = saved(full.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")), "links")
+    links = saved(full.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")), "links", small=True)
     discard(likely)
     return links
 
@@ -173,14 +173,14 @@ def _links_of_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fewest = rest.groupBy("key").agg(F.min("n").alias("fewest"))
     reach = rest.join(fewest, "key").select("*", *pair).join(lone, ["x", "y"], "left").withColumn("reach", F.col("n") - F.coalesce("lone", F.lit(0)))
     able = reach.filter(100 * percent * F.col("n") + percent * F.greatest(100 * F.col("fewest"), percent * F.col("n")) <= 100 * (100 + percent) * F.col("reach"))
-    able = saved(_open(able.select("key", "digest", "rep", "comp", "n")), "open")
+    able = saved(_open(able.select("key", "digest", "rep", "comp", "n")), "open", small=True)
     largest = able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("size")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.ceil(F.sum("size") / TILE).alias("chunks"))
     able = able.join(largest, "key")
     columns = ["key", "digest", "rep", "comp"]
     members = able.select(*columns, F.pmod(F.xxhash64("digest"), F.col("chunks")).alias("chunk"), F.lit(0).alias("kind"))
     asking = able.filter(F.col("comp") != F.col("most.comp")).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"))
     tiles = members.unionByName(asking).join(sets, "digest").select("key", "chunk", "kind", "rep", "comp", "s")
-    return saved(in_python(tiles.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind"), _compare(percent), "u long, v long").distinct(), "links")
+    return saved(in_python(tiles.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind"), _compare(percent), "u long, v long").distinct(), "links", small=True)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -192,32 +192,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = saved(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("shared"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
 
     members = classes.select("digest", "rep", "n", F.explode("bands").alias("key"))
-    buckets = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")
+    buckets = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets", small=True)
     members = saved(members.join(bounded(buckets, 40 * buckets.count()), "key"), "members")
     score = members.groupBy("digest").agg(F.sum("m").alias("score"))
     # Buckets with the same members say the same: one of them is enough, told by an order-free digest.
     same = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("x"))
     chosen = same.groupBy("n", "h", "x").agg(F.min("key").alias("key")).select("key")
     state = saved(members.join(chosen, "key", "left_semi").join(score, "digest").select("key", "digest", "rep", "n", "score"), "members")
-    texts = saved(classes.join(state.select("digest").distinct(), "digest", "left_semi").select("digest", "rep", "n", "sig"), "texts")
+    texts = saved(classes.join(state.select("digest").distinct(), "digest", "left_semi").select("digest", "rep", "n", "sig"), "texts", small=True)
     wanted = bounded(texts.select("rep").distinct(), 32 * texts.count())
     sets = saved(in_python(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), _sets(n), "digest binary, s array<long>").dropDuplicates(["digest"]), "sets")
 
     links = _links_of_centres(state, texts, sets, percent)
-    found = saved(connected_components(links), "components")
+    found = saved(connected_components(links), "components", small=True)
     comp = found.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
-    rest = saved(_open(state.join(comp, "rep", "left").select("key", "digest", "rep", "n", F.coalesce("comp", "rep").alias("comp"))), "rest")
+    rest = saved(_open(state.join(comp, "rep", "left").select("key", "digest", "rep", "n", F.coalesce("comp", "rep").alias("comp"))), "rest", small=True)
     more = _links_of_rest(rest, sets, percent)
     # The texts of a doc_id with several belong together.
     text = F.xxhash64("digest")
-    several = saved(sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo <> hi").select("doc_id"), "several")
+    several = saved(sketches.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).filter("lo <> hi").select("doc_id"), "several", small=True)
     together = known.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
-    more = saved(more.unionByName(together), "links")
+    more = saved(more.unionByName(together), "links", small=True)
     if not more.isEmpty():
-        found = saved(connected_components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+        found = saved(connected_components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "components", small=True)
     named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").filter("shared or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = saved(named, "named")
-    by_id = saved(several.join(found, several["doc_id"] == found["id"]).select("doc_id", F.col("component").alias("by_id")), "named")
+    named = saved(named, "named", small=True)
+    by_id = saved(several.join(found, several["doc_id"] == found["id"]).select("doc_id", F.col("component").alias("by_id")), "named", small=True)
     for x in (classes, buckets, members, state, texts, sets, links, rest, more, found, several):
         discard(x)
     out = sketches.select("doc_id", "n_shingles", "digest").join(bounded(named, 100 * named.count()), "digest", "left").join(bounded(by_id, 32 * by_id.count()), "doc_id", "left")
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    dropped = saved(near_duplicates(docs, n, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    dropped = saved(near_duplicates(docs, n, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped", small=True)
     return docs.join(bounded(dropped, 32 * dropped.count()), docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
 
 
