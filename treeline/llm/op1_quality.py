@@ -147,20 +147,21 @@ def estimates(vectors: DataFrame) -> DataFrame:
     robust = middle.select("gid", F.lit(0).alias("start"), *(F.col(f"p_{x}")[1].alias(f"m_{i}") for i, x in enumerate(_X)), *((F.pow((F.col(f"p_{_X[i]}")[2] - F.col(f"p_{_X[i]}")[0]) / 1.349, F.lit(2.0)) + (FLOOR[i] * SCALE) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS))
     plain = vectors.groupBy("gid").agg(*_moments()).withColumn("start", F.lit(1))
     keys = ["gid", "start"]
-    now = saved(_inverted(robust, keys).unionByName(_estimate(plain, keys, 1.0)), "mcd-start")
+    now = saved(_inverted(robust, keys).unionByName(_estimate(plain, keys, 1.0)), "mcd-start", small=True)
     reach = chi2_quantile(SHARE, DIMS)
     concentrated = SHARE / _gamma_p(DIMS / 2 + 1, reach / 2)
     order = Window.partitionBy(*keys).orderBy("bin")
     for step in range(STEPS):
-        bins = vectors.join(now, "gid").groupBy(*keys, _bin().alias("bin")).agg(*_moments())
+        # written, so that bins are dealt by themselves: summed with the windows in view they would all go to their group's task
+        bins = saved(vectors.join(now, "gid").groupBy(*keys, _bin().alias("bin")).agg(*_moments()), f"mcd-bins{step}", small=True)
         bins = bins.withColumn("below", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
         nearest = bins.filter(F.col("below") < F.ceil(F.col("all") * SHARE)).groupBy(*keys).agg(*_resummed())
-        now = saved(_estimate(nearest, keys, concentrated), f"mcd-step{step}")
+        now = saved(_estimate(nearest, keys, concentrated), f"mcd-step{step}", small=True)
     best = now.groupBy("gid").agg(F.min(F.struct("logdet", "start")).alias("b")).select("gid", F.col("b.start").alias("start"))
-    raw = saved(now.join(best, keys).drop("start"), "mcd-raw")
+    raw = saved(now.join(best, keys).drop("start"), "mcd-raw", small=True)
     cut = chi2_quantile(0.975, DIMS)
     near = vectors.join(raw, "gid").filter(_distance() <= cut).groupBy("gid").agg(*_moments())
-    return saved(_estimate(near, ["gid"], 0.975 / _gamma_p(DIMS / 2 + 1, cut / 2)), "mcd")
+    return saved(_estimate(near, ["gid"], 0.975 / _gamma_p(DIMS / 2 + 1, cut / 2)), "mcd", small=True)
 
 
 def _judged(docs: DataFrame, carried: tuple[str, ...] = (), min_group: int = MIN_GROUP, confidence: float = CONFIDENCE) -> DataFrame:
@@ -171,7 +172,7 @@ def _judged(docs: DataFrame, carried: tuple[str, ...] = (), min_group: int = MIN
     own, pooled = (F.to_json(F.struct(*c), {"ignoreNullFields": "false"}) for c in (("lang", "source"), ("lang",)))  # never equal, as only one names a source
     stats = saved(stats.withColumns({"own": own, "pooled": pooled}).drop("lang", "source"), "quality")
     usable = stats.filter(~F.col("base_failed"))
-    large = saved(usable.groupBy("own").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_group).select("own", F.lit(True).alias("large")), "quality-groups")
+    large = saved(usable.groupBy("own").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_group).select("own", F.lit(True).alias("large")), "quality-groups", small=True)
     grouped = stats.join(large, "own", "left").withColumn("gid", F.when(F.col("large"), F.col("own")).otherwise(F.col("pooled"))).drop("own", "pooled", "large")
     vectors = grouped.filter(~F.col("base_failed")).select("gid", *_X)
     enough = vectors.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= 4 * DIMS).select("gid")
