@@ -367,7 +367,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     seen = p.filter(F.octet_length("html") >= LEAST).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
-    twice = saved(seen.filter("n > 1 and first is not null").select(F.col("digest").alias("d"), "first"), "repeated-payloads")
+    twice = saved(seen.filter("n > 1 and first is not null").select(F.col("digest").alias("d"), "first"), "repeated-payloads", small=True)
     joined = p.join(twice, p["digest"] == twice["d"], "left")
     later = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).cast("long")
     joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "digest", later.alias("response_id")).write.format("warc").mode("append").save(path)

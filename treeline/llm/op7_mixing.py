@@ -98,11 +98,11 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         known.append([r["_key"], r["size"], t, max(1, r["docs"] // per_block), passes, t - passes * r["size"]])
     sources = bounded(spark.createDataFrame(known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double"), sum(60 + len(k[0]) * 4 for k in known))
     small = sized.select("_key", "_size", "_hash").join(sources, "_key").filter("_rest >= 0.5").withColumn("block", _block())
-    blocks = saved(small.groupBy("_key", "block").agg(F.sum("_size").alias("words"), F.first("_rest").alias("rest")).withColumn("run", F.floor(F.col("block") / 1024)), "blocks")
+    blocks = saved(small.groupBy("_key", "block").agg(F.sum("_size").alias("words"), F.first("_rest").alias("rest")).withColumn("run", F.floor(F.col("block") / 1024)), "blocks", small=True)
     runs = blocks.groupBy("_key", "run").agg(F.sum("words").alias("run_words")).withColumn("before_run", F.sum("run_words").over(Window.partitionBy("_key").orderBy("run")) - F.col("run_words"))
     before = F.sum("words").over(Window.partitionBy("_key", "run").orderBy("block")) - F.col("words")
     placed = blocks.withColumn("before", before).join(runs.select("_key", "run", "before_run"), ["_key", "run"]).withColumn("before", F.col("before") + F.col("before_run"))
-    edge = saved(placed.filter("before < rest and rest <= before + words").select("_key", "block", (F.col("rest") - F.col("before")).alias("rest")), "edge-blocks")
+    edge = saved(placed.filter("before < rest and rest <= before + words").select("_key", "block", (F.col("rest") - F.col("before")).alias("rest")), "edge-blocks", small=True)
     inner = small.select("_key", "block", "_hash", "_size").join(edge, ["_key", "block"]).groupBy("_key", "block", "_hash", "rest").agg(F.sum("_size").alias("words"))
     edges: dict[str, list] = {}
     for r in inner.collect():  # of each source one block's documents
