@@ -10,7 +10,7 @@ from treeline.functions import text as T
 from treeline.operators import changes
 from treeline.operators.forest import DIRECTORY, ROOT_RECORD, build_nodes
 from treeline.operators.reports import largest_dirs, problems, size_children
-from treeline.operators.search import ScopeNotFound, SearchArgs, drill_down, lookup, search, window
+from treeline.operators.search import ScopeNotFound, SearchArgs, counted_page, drill_down, lookup, resolve, search, total, window
 from treeline.sources import image, ntfs, snapshot, tables
 from treeline.sources.listing import list_directory
 from treeline.streaming.journal import JOURNAL, Desynchronised, entries_of_nodes, fold_batch, watch, watch_batches
@@ -303,6 +303,23 @@ def test_cycles_hang_at_the_root(spark):
     assert got["."] == (10, 1, 0, False) and got["a"] == (10, 1, 1, True) and got["b"] == (10, 1, 2, False) and got["f"] == (10, 0, 3, False)
 
 
+@pytest.mark.parametrize("length", [2, 3, 5, 9])
+def test_cycles_of_any_length_are_cut_once(spark, length):
+    ring = [(0, "C", 100 + i, 1, 100 + (i + 1) % length, f"r{i}", DIRECTORY, 0, 0, 0) for i in range(length)]
+    tail = [(0, "C", 200 + i, 1, 200 + i - 1 if i else 100 + length - 1, f"t{i}", DIRECTORY, 0, 0, 0) for i in range(6)]
+    rows = [(0, "C", ROOT_RECORD, 1, ROOT_RECORD, ".", DIRECTORY, 0, 0, 0), *ring, *tail, (0, "C", 300, 1, 205, "leaf", 0, 7, 7, 0)]
+    n = {r["record_no"]: r for r in build_nodes(spark.createDataFrame(rows, ENTRY)).collect()}
+    assert len(n) == len(rows) and n[100]["parent_id"] == ROOT_RECORD and n[100]["is_orphan"]
+    assert [n[100 + i]["depth"] for i in range(length)] == [1] + [length - i + 1 for i in range(1, length)]
+    assert all(n[x]["size"] == 7 for x in (ROOT_RECORD, 100, 100 + length - 1, 205)) and n[300]["depth"] == 9
+
+
+@pytest.mark.parametrize("args", [SearchArgs(text="c", limit=3), SearchArgs(text="c", limit=2, offset=2), SearchArgs(text="zzz", limit=5), SearchArgs(limit=1, sort="size")])
+def test_a_page_and_its_total_take_one_pass(sample, args):
+    rows, count = counted_page(*resolve(sample, args), ["path", "size"])
+    assert count == total(sample, args) and [tuple(r) for r in rows] == [(r["path"], r["size"]) for r in search(sample, args).collect()]
+
+
 def test_snapshots_replace_and_clean_up(spark, tmp_path, sample):
     path = f"file://{tmp_path}/index"
     volumes = spark.createDataFrame([(0, "C", 0, False)], VOLUME)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from treeline.functions import text as T
@@ -151,6 +151,13 @@ def search(nodes: DataFrame, args: SearchArgs) -> DataFrame:
     return result_rows(page(found, asked))
 
 
+def counted_page(found: DataFrame, args: SearchArgs, columns: list) -> tuple[list, int]:
+    """(rows of a bounded page, number of all matches), both from one pass over the matches; no more than offset and limit rows reach the driver."""
+    seen = Observation()
+    rows = page(found.observe(seen, F.count(F.lit(1)).alias("total")), args).select(*columns).collect()
+    return rows, seen.get["total"]
+
+
 def total(nodes: DataFrame, args: SearchArgs) -> int:
     return resolve(nodes, args)[0].count()
 

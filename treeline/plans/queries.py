@@ -12,7 +12,7 @@ from treeline.functions import text as T
 from treeline.functions.storage import saved, shared_dir
 from treeline.operators import changes, dupes, reports, spill
 from treeline.operators.forest import DELETED, build_nodes, has
-from treeline.operators.search import SearchArgs, complete, lookup, ordering, page, resolve, result_rows
+from treeline.operators.search import SearchArgs, complete, counted_page, lookup, resolve, result_rows
 from treeline.sources import image, ntfs, snapshot, tables
 from treeline.streaming.journal import entries_of_nodes, position_gap
 
@@ -89,13 +89,14 @@ def _search_sql(where: str, terms: list[str], args: SearchArgs, excluded: bool)
     )
 
 
+_ROW = "pos long, path string, size long, mtime long, is_dir boolean, files long, own long, total long"
+
+
 def search_rows(nodes: DataFrame, args: SearchArgs) -> DataFrame:
-    """The page with each row's position and the number of all matches."""
+    """The page with each row's position and the number of all matches; every request here names a limit."""
     found, asked = resolve(nodes, args)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    shown = page(found, asked).withColumn("pos", (F.row_number().over(Window.orderBy(*ordering(asked))) + args.offset).cast("long"))
-    pos = shown.select("pos", F.col("path"), "size", F.col("mtime_unix").alias("mtime"), "is_dir", F.col("subtree_files").alias("files"), F.lit(0).cast("long").alias("own"))
-    return pos.crossJoin(F.broadcast(total))  # one row
+    rows, total = counted_page(found, asked, ["path", "size", "mtime_unix", "is_dir", "subtree_files"])
+    return nodes.sparkSession.createDataFrame([(args.offset + i, *r, 0, total) for i, r in enumerate(rows, 1)], _ROW)
 
 
 _SEARCHES = {
