@@ -303,15 +303,20 @@ def test_cycles_hang_at_the_root(spark):
     assert got["."] == (10, 1, 0, False) and got["a"] == (10, 1, 1, True) and got["b"] == (10, 1, 2, False) and got["f"] == (10, 0, 3, False)
 
 
-@pytest.mark.parametrize("length", [2, 3, 5, 9])
-def test_cycles_of_any_length_are_cut_once(spark, length):
-    ring = [(0, "C", 100 + i, 1, 100 + (i + 1) % length, f"r{i}", DIRECTORY, 0, 0, 0) for i in range(length)]
-    tail = [(0, "C", 200 + i, 1, 200 + i - 1 if i else 100 + length - 1, f"t{i}", DIRECTORY, 0, 0, 0) for i in range(6)]
-    rows = [(0, "C", ROOT_RECORD, 1, ROOT_RECORD, ".", DIRECTORY, 0, 0, 0), *ring, *tail, (0, "C", 300, 1, 205, "leaf", 0, 7, 7, 0)]
+def test_cycles_of_any_length_are_cut_once(spark):
+    rows = [(0, "C", ROOT_RECORD, 1, ROOT_RECORD, ".", DIRECTORY, 0, 0, 0)]
+    for length in (2, 3, 5, 9):  # a ring, a chain of six that ends in it, and a file below
+        at = 1000 * length
+        rows += [(0, "C", at + i, 1, at + (i + 1) % length, f"r{i}", DIRECTORY, 0, 0, 0) for i in range(length)]
+        rows += [(0, "C", at + 200 + i, 1, at + (200 + i - 1 if i else length - 1), f"t{i}", DIRECTORY, 0, 0, 0) for i in range(6)]
+        rows.append((0, "C", at + 300, 1, at + 205, "leaf", 0, 7, 7, 0))
     n = {r["record_no"]: r for r in build_nodes(spark.createDataFrame(rows, ENTRY)).collect()}
-    assert len(n) == len(rows) and n[100]["parent_id"] == ROOT_RECORD and n[100]["is_orphan"]
-    assert [n[100 + i]["depth"] for i in range(length)] == [1] + [length - i + 1 for i in range(1, length)]
-    assert all(n[x]["size"] == 7 for x in (ROOT_RECORD, 100, 100 + length - 1, 205)) and n[300]["depth"] == 9
+    assert len(n) == len(rows) and n[ROOT_RECORD]["size"] == 28
+    for length in (2, 3, 5, 9):
+        at = 1000 * length
+        assert n[at]["parent_id"] == ROOT_RECORD and [n[at + i]["is_orphan"] for i in range(length)] == [True] + [False] * (length - 1)
+        assert [n[at + i]["depth"] for i in range(length)] == [1] + [length - i + 1 for i in range(1, length)]
+        assert all(n[at + x]["size"] == 7 for x in (0, length - 1, 205)) and n[at + 300]["depth"] == 9
 
 
 @pytest.mark.parametrize("args", [SearchArgs(text="c", limit=3), SearchArgs(text="c", limit=2, offset=2), SearchArgs(text="zzz", limit=5), SearchArgs(limit=1, sort="size")])

@@ -133,19 +133,21 @@ def apply(entries: DataFrame, journal: DataFrame) -> tuple[DataFrame, DataFrame]
     """(entries after the batch, its judged groups). The last group of a record decides its state; an entry of another sequence is retired. What is gone stays as a tombstone (DELETED, without size) until its record is used again."""
     judged = saved(outcomes(coalesce(journal), entries), "judged")
     last = saved(_decided(judged), "decided")
-    joined = entries.join(last, ["vol_ord", "record_no"], "left")
-    gone = has(F.col("flags"), DELETED)
-    parent = F.when(F.coalesce("c_renamed", F.lit(False)), F.col("c_parent")).otherwise(F.col("parent_record"))
-    kept = joined.filter(~gone & F.expr("state is null or state = 'changed'")).withColumns(_taken() | {"parent_record": parent})
-    dead = joined.filter((gone & F.expr("state is null or state <> 'new'")) | (~gone & F.expr("state = 'dead'")))
-    dead = dead.withColumns({"flags": F.col("flags").bitwiseOR(F.lit(DELETED)), "own_size": F.lit(0).cast("long"), "own_alloc": F.lit(0).cast("long")})
+    gone, state = has(F.col("flags"), DELETED), F.coalesce("state", F.lit(""))
+    kept = ~gone & state.isin("", "changed")
+    dead = F.when(gone, state != "new").otherwise(state == "dead")
+    # one pass over the entries, whatever becomes of them
+    old = entries.join(last, ["vol_ord", "record_no"], "left").filter(kept | dead)
+    taken = _taken() | {"parent_record": F.when(F.coalesce("c_renamed", F.lit(False)), F.col("c_parent")).otherwise(F.col("parent_record"))}
+    lost = {"own_size": F.lit(0).cast("long"), "own_alloc": F.lit(0).cast("long")}
+    old = old.withColumns({c: F.when(kept, now).otherwise(lost.get(c, F.col(c))) for c, now in taken.items()} | {"flags": F.when(kept, F.col("flags")).otherwise(F.col("flags").bitwiseOR(F.lit(DELETED)))})
     drives = entries.select("vol_ord", "drive").distinct()
     size = F.when(F.col("c_is_dir"), 0).otherwise(F.coalesce("c_size", F.lit(0))).cast("long")
     new = last.filter("state = 'new'").join(drives, "vol_ord").select(
         "vol_ord", "drive", "record_no", F.col("c_sequence").alias("sequence"), F.col("c_parent").alias("parent_record"), F.col("c_name").alias("name"),
         F.when(F.col("c_is_dir"), DIRECTORY).otherwise(0).alias("flags"), size.alias("own_size"), size.alias("own_alloc"), F.coalesce("c_mtime", F.lit(0)).cast("long").alias("mtime_unix"),
     )
-    return kept.select(*entries.columns).unionByName(dead.select(*entries.columns)).unionByName(new), judged
+    return old.select(*entries.columns).unionByName(new), judged
 
 
 def _totals(rows: DataFrame, sign: int) -> DataFrame:

@@ -295,7 +295,7 @@ m AS (SELECT k.*, base.record IS NOT NULL AND place = 1 AND sequence = 1 AS matc
   CASE WHEN matches AND NOT (resized OR created) THEN bsize ELSE size END::BIGINT AS size FROM m WHERE final AND ((matches AND NOT deleted) OR (NOT matches AND created))
   UNION ALL SELECT record, 1, name, size FROM base WHERE record NOT IN (SELECT record FROM k)""")
 def journal_apply_final(spark, sf_dir):
-    after, _ = changes.apply(tables.volume_d(spark, sf_dir), tables.journal(spark, sf_dir))
+    after, _ = changes.apply(saved(tables.volume_d(spark, sf_dir), "entries"), tables.journal(spark, sf_dir))
     return after.filter((F.col("record_no") >= 1_000_000) & ~has(F.col("flags"), DELETED)).select("record_no", "sequence", "name", F.col("own_size").alias("size"))
 
 
