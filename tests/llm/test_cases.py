@@ -2,12 +2,13 @@
 
 import gzip
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from treeline.llm import op1_quality, op2_trie, op3_warc, op4_minhash, op5_html, op7_mixing, op8_chat, op9_language, op10_graph
+from treeline.llm import op1_quality, op2_trie, op3_warc, op4_minhash, op5_html, op6_bpe, op7_mixing, op8_chat, op9_language, op10_graph
 from treeline.llm.common import fresh_path
 from treeline.llm.eliasfano import EliasFano
 from treeline.llm.registry import ORACLES
@@ -326,3 +327,25 @@ def test_pipeline_stages(spark, odd_docs):
             assert all(after[d] <= before[d] for d in after), name
         docs = got
     assert "text" in docs.columns
+
+
+def test_fragments_of_many_texts_are_not_held_at_once():
+    bpe = op6_bpe.encoder(op6_bpe.default_vocabulary())
+    texts = [" ".join(f"word{(i * 7 + k) % 500}" for k in range(1600)) for i in range(256)]
+    expected = bpe.encode(texts[:3])
+    tracemalloc.start()
+    try:
+        got = bpe.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[:3] == expected and all(bpe.decode(ids) == text for ids, text in zip(got, texts))
+    assert peak < 60 << 20
+
+
+def test_the_mixing_plan_takes_no_python_workers(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for rows in (docs, docs.limit(0)):
+        planned = op7_mixing.plan(op7_mixing._with_sizes(rows))
+        assert "LocalTableScan" in (shown := planned._jdf.queryExecution().executedPlan().toString()) and "ExistingRDD" not in shown
+        assert planned.count() == rows.select("source").distinct().count()

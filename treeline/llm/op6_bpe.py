@@ -29,9 +29,9 @@ from treeline.llm.common import in_python, table
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of fragments a task remembers, about; when full, it starts anew.
-MEMO = 48 << 20
-#: Bytes cut at once; a longer text is taken whole.
-BLOCK = 1 << 22
+MEMO = 32 << 20
+#: Bytes cut at once, whose fragments take some forty times as much; a longer text is taken whole.
+BLOCK = 1 << 18
 
 
 def default_vocabulary() -> str:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import bounded, saved, table
+from treeline.llm.common import bounded, local_rows, saved, table
 
 WEIGHTS = (3, 1, 2)
 #: Words taken in all, as a share of all words; and the most of any source, as a multiple of its words.
@@ -96,7 +96,7 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     for r, t in zip(rows, wanted):
         passes = min(int(t // r["size"]), MOST) if r["size"] else 0
         known.append([r["_key"], r["size"], t, max(1, r["docs"] // per_block), passes, t - passes * r["size"]])
-    sources = bounded(spark.createDataFrame(known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double"), sum(60 + len(k[0]) * 4 for k in known))
+    sources = bounded(local_rows(spark, known, "_key string, _source_size long, _target double, _blocks long, _passes int, _rest double"), sum(60 + len(k[0]) * 4 for k in known))
     small = sized.select("_key", "_size", "_hash").join(sources, "_key").filter("_rest >= 0.5").withColumn("block", _block())
     blocks = saved(small.groupBy("_key", "block").agg(F.sum("_size").alias("words"), F.first("_rest").alias("rest")).withColumn("run", F.floor(F.col("block") / 1024)), "blocks", small=True)
     runs = blocks.groupBy("_key", "run").agg(F.sum("words").alias("run_words")).withColumn("before_run", F.sum("run_words").over(Window.partitionBy("_key").orderBy("run")) - F.col("run_words"))
@@ -118,7 +118,7 @@ def plan(sized: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     shards = min(max(1, math.ceil(sum(wanted) / shard_words)), SHARDS)
     starts = split_quotas(quotas, shards)[:-1]
     out = [[*r, quotas[i], starts[:, i].tolist(), starts[::LEVEL, i].tolist()] for i, r in enumerate(out)]
-    return bounded(spark.createDataFrame(out, _PLAN), sum(100 + len(r[0]) * 4 + 8 * (len(r[6]) + len(r[8]) + len(r[9])) for r in out))
+    return bounded(local_rows(spark, out, _PLAN), sum(100 + len(r[0]) * 4 + 8 * (len(r[6]) + len(r[8]) + len(r[9])) for r in out))
 
 
 def _filled(rest: float, documents: list[tuple[int, int]]) -> list[int]:
